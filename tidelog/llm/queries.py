@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelog.llm.personal import personal_data, redacted_entries
 from tidelog.llm.repeats import collapsed_events, repeated_events
 from tidelog.session import prepare, table
 
@@ -18,4 +20,15 @@ def p3_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed_events(table(spark, sf_dir, "entries"), table(spark, sf_dir, "log_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return personal_data(table(spark, sf_dir, "entries"), table(spark, sf_dir, "person_names"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    df = redacted_entries(table(spark, sf_dir, "entries"), table(spark, sf_dir, "person_names"))
+    return df.select("entry_id", "message", "raw", F.to_json("extra").alias("extra"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_redacted)}
