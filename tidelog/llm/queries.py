@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.garbled import restored_fields
 from tidelog.llm.personal import personal_data, redacted_entries
 from tidelog.llm.repeats import collapsed_events, repeated_events
 from tidelog.session import prepare, table
@@ -31,4 +32,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("entry_id", "message", "raw", F.to_json("extra").alias("extra"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_redacted)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return restored_fields(table(spark, sf_dir, "entries")).select("entry_id", "field", "restorable")
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return restored_fields(table(spark, sf_dir, "entries"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored)}
