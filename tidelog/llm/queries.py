@@ -6,11 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.garbled import restored_fields
+from tidelog.llm.near_duplicates import long_texts, similar_groups, similar_pairs
 from tidelog.llm.personal import personal_data, redacted_entries
 from tidelog.llm.repeats import collapsed_events, repeated_events
 from tidelog.session import prepare, table
 
 
+P1_THRESHOLD, P1_LEAST_WORDS = 0.7, 60
+
+
+def _p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    entries = long_texts(table(spark, sf_dir, "entries"), "entry", "entry_id", "message", P1_LEAST_WORDS)
+    return entries.unionByName(long_texts(table(spark, sf_dir, "error_groups"), "group", "group_no", "pattern", P1_LEAST_WORDS))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(_p1_texts(spark, sf_dir), P1_THRESHOLD)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(_p1_texts(spark, sf_dir), P1_THRESHOLD)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return repeated_events(table(spark, sf_dir, "entries"))
@@ -42,4 +60,4 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored_fields(table(spark, sf_dir, "entries"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored)}
