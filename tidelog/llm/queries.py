@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.garbled import restored_fields
 from tidelog.llm.near_duplicates import long_texts, similar_groups, similar_pairs
+from tidelog.llm.packing import fill, packed
 from tidelog.llm.personal import personal_data, redacted_entries
 from tidelog.llm.repeats import collapsed_events, repeated_events
+from tidelog.llm.tokens import token_ids
 from tidelog.session import prepare, table
 
 
@@ -60,4 +62,18 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored_fields(table(spark, sf_dir, "entries"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p9_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored, p8_ids, p9_packed, p9_fill)}
