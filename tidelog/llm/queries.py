@@ -9,6 +9,7 @@ from tidelog.llm.garbled import restored_fields
 from tidelog.llm.near_duplicates import long_texts, similar_groups, similar_pairs
 from tidelog.llm.packing import fill, packed
 from tidelog.llm.personal import personal_data, redacted_entries
+from tidelog.llm.reading import reading_bands
 from tidelog.llm.repeats import collapsed_events, repeated_events
 from tidelog.llm.tokens import token_ids
 from tidelog.session import prepare, table
@@ -76,4 +77,9 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p9_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored, p8_ids, p9_packed, p9_fill)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_collapsed, p4_found, p4_redacted, p7_found, p7_restored, p8_ids, p9_packed, p9_fill, p10_found)}
