@@ -30,6 +30,8 @@ BLOCK = 512
 #: Share of the texts from which a word is frequent, and the most frequent words there can be.
 FREQUENT, MOST_FREQUENT = 0.01, 100_000
 SKETCH = 64
+#: A partner of a text with too few rare words has at most this share of them itself (at a threshold of 0.7).
+PARTNER_SHARE = 0.54
 _LEAST_RARE, _LEAST_ALL = 4, 24  # equal sketch places that a candidate needs, in either forest
 
 
@@ -93,66 +95,145 @@ def depth_for(similarity: float, deepest: int = DEEPEST) -> int:
     return 0
 
 
-def _emit(frequent: frozenset[int], threshold: float, deepest: int, any_short: bool):
-    """Forest rows of a text: bucket (tree, depth and label prefix), class, own depth and sketch."""
-    limit = 0.54  # a partner of a text with too few rare words has at most this share of them
+def _emit(frequent: frozenset[int], threshold: float, levels: dict[int, range], any_short: bool):
+    """Forest rows of a text: bucket (tree, level and label prefix), class, mark and sketch.
+
+    ``levels``: by a text's own depth, the prefix lengths under which it is filed.  ``mark``: own depth * 100 + level
+    in the forest of rare words; 0 or -1 in that of all words, for a text that needs it or may be a partner of one.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.array(sorted(frequent), np.int64)
+        trees = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
-            buckets, kinds, ids, depths, sketches = [], [], [], [], []
+            buckets, kinds, ids, marks, sketches = [], [], [], [], []
             for kind, cls, words in zip(b["kind"].to_pylist(), b["cls"].to_pylist(), b["words"]):
                 words = np.asarray(words.values.to_numpy(), np.int64)
                 rare = words[~np.isin(words, common)] if len(common) else words
                 own = depth_for(guaranteed(len(rare), len(words), threshold))
-                forests = []
-                if own:
-                    forests.append((rare, range(own, deepest + 1), own, DEEPEST))
-                if not own or (any_short and len(rare) <= limit * len(words)):
-                    forests.append((words, (DEPTH_ALL,), 0 if not own else -1, DEPTH_ALL))
-                for chosen, levels, mark, depth in forests:
-                    s = signature(chosen, depth)
-                    sketch = (s[:SKETCH, 0] & np.uint64(0xFF)).astype(np.uint8).tobytes()
-                    for level in levels:
-                        label = np.uint64(level * 1_000_003 + (mark <= 0)) + np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                        for k in range(level):
-                            label = (label ^ s[:, k]) * np.uint64(0xD6E8FEB86659FD93)
-                            label ^= label >> np.uint64(32)
-                        buckets.append(label.view(np.int64))
-                        kinds += [kind] * TREES
-                        ids += [cls] * TREES
-                        depths += [mark * 100 + level if mark > 0 else mark] * TREES
-                        sketches += [sketch] * TREES
+                files = [(rare, level, own * 100 + level) for level in levels.get(own, ())]
+                if not own or (any_short and len(rare) <= PARTNER_SHARE * len(words)):
+                    files.append((words, DEPTH_ALL, -1 if own else 0))
+                signed: dict[int, np.ndarray] = {}
+                for chosen, level, mark in files:
+                    if id(chosen) not in signed:
+                        signed[id(chosen)] = signature(chosen, DEPTH_ALL if chosen is words and mark <= 0 else DEEPEST)
+                    s = signed[id(chosen)]
+                    label = np.uint64(level * 1_000_003 + (mark <= 0)) + trees
+                    for k in range(level):
+                        label = (label ^ s[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+                        label ^= label >> np.uint64(32)
+                    buckets.append(label.view(np.int64))
+                    kinds += [kind] * TREES
+                    ids += [cls] * TREES
+                    marks += [mark] * TREES
+                    sketches += [(s[:SKETCH, 0] & np.uint64(0xFF)).astype(np.uint8).tobytes()] * TREES
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(kinds, pa.string()), pa.array(ids, pa.int64()), pa.array(depths, pa.int32()), pa.array(sketches, pa.binary())],
+                [
+                    pa.array(np.concatenate(buckets) if buckets else [], pa.int64()), pa.array(kinds, pa.string()), pa.array(ids, pa.int64()),
+                    pa.array(marks, pa.int32()), pa.array(sketches, pa.binary()),
+                ],
                 names=["bucket", "kind", "cls", "mark", "sketch"],
-            )
+            )
 
     return rows
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Candidates of one block pair of a bucket: classes whose sketches are alike enough, at the pair's own depth."""
-    cls, mark, part = (table[c].to_numpy() for c in ("cls", "mark", "part"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-    first, second = table["first"][0].as_py(), table["second"][0].as_py()
-    left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
-        alike = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int16)
-        a, b = mark[rows][:, None], mark[right][None, :]
-        # in the rare forest a pair belongs to the deeper of its two depths; in the other one of the two must need it
-        by_rare = (alike >= _LEAST_RARE) & (np.maximum(a // 100, b // 100) == a % 100)
-        by_all = (alike >= _LEAST_ALL) & ((a == 0) | (b == 0))
-        x, y = cls[rows][:, None], cls[right][None, :]
-        i, j = np.nonzero(np.where(a > 0, by_rare, by_all) & ((x < y) if first == second else (x != y)))
-        x, y = cls[rows][i], cls[right][j]
-        out.append((np.minimum(x, y), np.maximum(x, y)))
-    a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-    b = np.concatenate([y for _, y in out]) if out else np.empty(0, np.int64)
-    kind = table["kind"][0].as_py()
-    return pa.table({"kind": pa.array([kind] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _worth(a: np.ndarray, b: np.ndarray, alike: np.ndarray, deeper: bool) -> np.ndarray:
+    """Whether pairs of marks with so many equal sketch places are candidates, at the level where the pair belongs."""
+    level = (np.maximum if deeper else np.minimum)(a // 100, b // 100)
+    return np.where(a > 0, (alike >= _LEAST_RARE) & (level == a % 100), (alike >= _LEAST_ALL) & ((a == 0) | (b == 0)))
+
+
+def _pairs_table(kinds: list[str], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["kind", "a", "b"])
+
+
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+
+def _compare_sorted(deeper: bool):
+    """Candidates of buckets of at most BLOCK members, which stand together; rows of a bucket at distance 1, 2, ..."""
+
+    def candidates(table: pa.Table) -> pa.RecordBatch:
+        kind = np.array(table["kind"].to_pylist(), object)
+        bucket, cls, mark = (table[c].to_numpy() for c in ("bucket", "cls", "mark"))
+        sketch, found = _sketches(table["sketch"]), []
+        left = np.arange(len(bucket))
+        step = 0
+        while len(left):
+            step += 1
+            left = left[left + step < len(bucket)]
+            left = left[(bucket[left] == bucket[left + step]) & (kind[left] == kind[left + step])]
+            right = left + step
+            alike = (sketch[left] == sketch[right]).sum(axis=1)
+            ok = _worth(mark[left], mark[right], alike, deeper) & (cls[left] != cls[right])
+            found.append((left[ok], right[ok]))
+        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, int)
+        b = np.concatenate([y for _, y in found]) if found else np.empty(0, int)
+        return _pairs_table(kind[a].tolist(), cls[a], cls[b])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            table = pa.concat_tables([kept, table]) if kept is not None else table
+            if not table.num_rows:
+                continue
+            # the last bucket may go on in the next batch
+            bucket = table["bucket"].to_numpy()
+            end = np.flatnonzero(bucket != bucket[-1])
+            cut_at = int(end[-1]) + 1 if len(end) else 0
+            kept = table.slice(cut_at)
+            if cut_at:
+                yield candidates(table.slice(0, cut_at))
+        if kept is not None and kept.num_rows:
+            yield candidates(kept)
+
+    return compare
+
+
+def _compare_blocks(deeper: bool):
+    """Candidates of two blocks of a large bucket."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cls, mark, part = (table[c].to_numpy() for c in ("cls", "mark", "part"))
+        sketch = _sketches(table["sketch"])
+        first, second = table["first"][0].as_py(), table["second"][0].as_py()
+        left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
+        found = []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            alike = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int16)
+            x, y = cls[rows][:, None], cls[right][None, :]
+            ok = _worth(mark[rows][:, None], mark[right][None, :], alike, deeper) & ((x < y) if first == second else (x != y))
+            i, j = np.nonzero(ok)
+            found.append((cls[rows][i], cls[right][j]))
+        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+        b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
+        return pa.Table.from_batches([_pairs_table([table["kind"][0].as_py()] * len(a), a, b)])
+
+    return compare
+
+
+def filed_levels(depths: dict[int, int]) -> tuple[bool, dict[int, range]]:
+    """(deeper, levels by own depth) from the number of texts of each depth.
+
+    A pair must meet at one of its two depths, either of which gives the target recall.  Filing each text from the
+    least depth of all down to its own makes pairs meet at the shallower one; filing it from its own to the
+    greatest of all, at the deeper one.  The way with fewer rows is taken.
+    """
+    own = {d: n for d, n in depths.items() if d}
+    if not own:
+        return True, {}
+    low, high = min(own), max(own)
+    down = sum(n * (d - low + 1) for d, n in own.items())
+    up = sum(n * (high - d + 1) for d, n in own.items())
+    if down < up:
+        return False, {d: range(low, d + 1) for d in own}
+    return True, {d: range(d, high + 1) for d in own}
 
 
 def frequent_words(classes: DataFrame, n: int, n_words: int) -> frozenset[int]:
@@ -162,6 +243,9 @@ def frequent_words(classes: DataFrame, n: int, n_words: int) -> frozenset[int]:
     return frozenset(r[0] for r in counts.where(F.col("n") >= least).select("w").collect())
 
 
+PAIR = "kind STRING, a BIGINT, b BIGINT"
+
+
 def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(kind, a, b): pairs of classes of at least the similarity, a < b.
 
@@ -170,29 +254,37 @@ def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     n, n_words = classes.agg(F.count("*"), F.sum(F.size("words"))).first()
     frequent = frequent_words(classes, n, n_words) if n else frozenset()
     rare = F.size(F.array_except("words", F.lit(sorted(frequent)))) if frequent else F.size("words")
-    bounds = classes.select(rare.alias("r"), F.size("words").alias("n"))
-    lacks, others = (1 - threshold) * F.col("n"), (1 / threshold - 1) * F.col("n")
-    sure = F.when(F.col("r") > 0, F.least((F.col("r") - lacks) / F.col("r"), F.col("r") / (F.col("r") + others))).otherwise(0.0)
-    low, high = bounds.agg(F.min(sure), F.max(sure)).first()
-    deepest, any_short = depth_for(high or 0.0), depth_for(max(0.0, low or 0.0)) == 0
-    forest = classes.mapInArrow(_emit(frequent, threshold, deepest, any_short), "bucket BIGINT, kind STRING, cls BIGINT, mark INT, sketch BINARY")
+    # texts by their share of rare words in hundredths, rounded down, which bounds their depths from below
+    shares = classes.groupBy(F.floor(rare * 100 / F.size("words")).alias("s")).count().collect()
+    depths: dict[int, int] = {}
+    for share, count in shares:
+        for d in {depth_for(guaranteed(share, 100, threshold)), depth_for(guaranteed(share + 1, 100, threshold))}:
+            depths[d] = depths.get(d, 0) + count
+    deeper, levels = filed_levels(depths)
+    forest = classes.mapInArrow(
+        _emit(frequent, threshold, levels, 0 in depths), "bucket BIGINT, kind STRING, cls BIGINT, mark INT, sketch BINARY"
+    )
     bucket = Window.partitionBy("kind", "bucket")
     forest = forest.withColumn("members", F.count("*").over(bucket)).where("members > 1")
+    small = forest.where(F.col("members") <= BLOCK).select("kind", "bucket", "cls", "mark", "sketch")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    forest = forest.withColumn("part", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    forest = forest.select(
+    large = forest.where(F.col("members") > BLOCK)
+    large = large.withColumn("part", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "kind", "bucket", "cls", "mark", "sketch", "part",
         F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"),
     )
-    found = forest.groupBy("kind", "bucket", "first", "second").applyInArrow(_compare, "kind STRING, a BIGINT, b BIGINT").distinct()
+    found = small.mapInArrow(_compare_sorted(deeper), PAIR).unionByName(
+        large.groupBy("kind", "bucket", "first", "second").applyInArrow(_compare_blocks(deeper), PAIR)
+    )
+    found = found.distinct()
     words = classes.select("kind", "cls", "words")
     left = words.select("kind", F.col("cls").alias("a"), F.col("words").alias("wa"))
     right = words.select("kind", F.col("cls").alias("b"), F.col("words").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    pairs = found.join(left, ["kind", "a"]).join(right, ["kind", "b"]).withColumn("shared", shared)
-    per_mille = round(threshold * 1000)
+    pairs = found.join(left, ["kind", "a"]).join(right, ["kind", "b"])
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     either = F.size("wa") + F.size("wb") - F.col("shared")
-    return pairs.where(F.col("shared") * 1000 >= either * per_mille).select("kind", "a", "b")
+    return pairs.where(F.col("shared") * 1000 >= either * round(threshold * 1000)).select("kind", "a", "b")
 
 
 def similar_classes(texts: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
