@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what the ranker is trained on: graded posts (by a hash of their id), pairs, and their sentences.
-MOST_GRADED, MOST_PAIRS = 20_000, 15_000
-MOST_SENTENCES = 60_000
+MOST_GRADED, MOST_PAIRS = 1_500, 15_000
+#: Sentences of a graded post that are learnt from; all that reaches the driver is below 70 MB.
+MOST_OF_POST = 40
+MOST_SENTENCES = 25_000
 VOCABULARY_BUCKETS = 256
 LEAST_WORDS = 40
 #: A stretch without sentence marks of more words than this is judged in windows.
@@ -219,7 +221,7 @@ def fit(posts: list[tuple[list[np.ndarray], list[tuple[int, bool]], float]], rou
     x = np.concatenate([np.array(xs) for xs, _, _ in posts])
     of = np.repeat(np.arange(len(posts)), [len(xs) for xs, _, _ in posts])
     grades = np.array([g for _, _, g in posts])
-    means = np.array([x[of == i].mean(axis=0) for i in range(len(posts))])
+    means = np.array([np.mean(xs, axis=0) for xs, _, _ in posts])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
     first = Ranker(mean, scale, _rank((means - mean) / scale, grades, rounds, rng), (0.0, 0.0), (8.0, 16.0, 20.0))
     scores, fitted = isotonic(first.score(means), grades)
@@ -245,11 +247,10 @@ def graded_posts(documents: DataFrame, labels: DataFrame) -> list:
     median = labels.where("band BETWEEN 1 AND 3").groupBy("doc_id").agg(F.percentile("band", 0.5).alias("grade"))
     bounded = median.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_GRADED)
     texts = documents.where("text IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
-    rows = texts.join(bounded, "doc_id").select("text", "grade").mapInArrow(_reduce, "grade DOUBLE, sums ARRAY<DOUBLE>, n INT, sizes ARRAY<INT>").collect()
+    rows = texts.join(bounded, "doc_id").select("text", "grade").mapInArrow(_reduce, "grade DOUBLE, x BINARY, sizes ARRAY<INT>")
     posts = []
-    for grade, sums, n, sizes in rows:
-        x = np.array(sums).reshape(n, N_FEATURES)
-        posts.append((list(x), [(abs(s), s > 0) for s in sizes], grade))
+    for grade, x, sizes in rows.toLocalIterator():
+        posts.append((list(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES)), [(abs(s), s > 0) for s in sizes], grade))
     return posts
 
 
@@ -259,11 +260,11 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, grade in zip(b["text"].to_pylist(), b["grade"].to_pylist()):
             n, xs, sizes = post_features(text)
             if n >= LEAST_WORDS:
-                xs, sizes = xs[:200], sizes[:200]
-                out.append((grade, np.concatenate(xs).tolist(), len(xs), [s if whole else -s for s, whole in sizes]))
-        columns = list(zip(*out)) if out else [()] * 4
-        kinds = (pa.float64(), pa.list_(pa.float64()), pa.int32(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["grade", "sums", "n", "sizes"])
+                xs, sizes = xs[:MOST_OF_POST], sizes[:MOST_OF_POST]
+                out.append((grade, np.array(xs, np.float32).tobytes(), [s if whole else -s for s, whole in sizes]))
+        columns = list(zip(*out)) if out else [()] * 3
+        kinds = (pa.float64(), pa.binary(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["grade", "x", "sizes"])
 
 
 def reading_bands(documents: DataFrame, labels: DataFrame, lang: str = "en") -> DataFrame:
