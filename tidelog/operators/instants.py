@@ -8,7 +8,6 @@ times that the zone skips or shows twice from ordinary ones.  Everything is a JV
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
@@ -16,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import let
+from tidelog.session import small_side
+
 # Month names.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: Abbreviations that are certain without knowing the source's zone.
@@ -139,15 +141,6 @@ def time_text(ts_text: Column, raw: Column, fmt: Column) -> Column:
     return F.coalesce(ts_text, found)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, evaluated once however often it is used.
-
-    The optimiser inlines projected columns into each of their uses; a lambda variable stays one node, which
-    keeps deep arithmetic from growing exponentially.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _offset_at(seconds: Column, tz: Column) -> Column:
     """Offset in seconds that ``tz`` has at a UTC instant."""
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(seconds), tz)) - seconds
@@ -274,6 +267,7 @@ def with_source_facts(entries: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("source").alias("_tl_source"), F.col("tz").alias("_tl_named"), F.lower("date_order").alias("_tl_order")
     ).dropDuplicates(["_tl_source"])
     facts = facts.join(zones, F.col("_tl_named") == F.col("_tl_tz"), "left").drop("_tl_named")
+    facts = small_side(facts)
     return entries.join(facts, entries["source"] == facts["_tl_source"], "left").drop("_tl_source")
 
 

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every query sets for itself, as the caller owns the session.
 REQUIRED = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true"}
@@ -69,3 +70,15 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows it to be small; else as it is, for a shuffled join.
+
+    For sides of short rows with one row a key, joined with tables in which one key may hold a third of all rows.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
