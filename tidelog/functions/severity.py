@@ -24,7 +24,7 @@ NGINX_LEVELS = {
 # Labels and icons of the terminal report.
 LABELS = {
     "Error": ("Critical", "🔴"), "Warning": ("Warning", "🟡"), "Info": ("Info", "🔵"),
-    "Debug": ("Debug", "⚪"), "Trace": ("Trace", "⚪"), "Unknown": ("Unknown", "⚪"),
+    "Debug": ("Debug", "⚪"), "Trace": ("Trace", "⚫"), "Unknown": ("Unknown", "❓"),
 }
 
 

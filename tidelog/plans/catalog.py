@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.plans import problems
+from tidelog.plans import problems, queries
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**queries.QUERIES, **problems.QUERIES}
+ORACLES = {**queries.ORACLES, **problems.ORACLES}
