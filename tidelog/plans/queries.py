@@ -6,6 +6,7 @@ two engines.  Times leave as microseconds, maps as single columns, so that both
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -650,36 +651,38 @@ def backoff_schedule(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(attempt.alias("attempt"), backoff_ms(attempt, 1000, 30_000).alias("delay_ms")).agg(F.count("*").alias("n"))
 
 
-_CACHE = (
-    "'p' || CAST(event_id % 500 AS STRING) AS pattern, CASE WHEN event_id % 2 = 0 THEN 'openai' ELSE 'ollama' END AS provider, 'm' AS model, 'e' || CAST(event_id AS STRING) AS explanation, "
-    "CAST(NULL AS STRING) AS root_cause, CASE WHEN event_id % 3 = 0 THEN 'broken' ELSE '[{\"description\":\"d\",\"priority\":1}]' END AS suggestions, 1700000000 + event_id * 3600 AS created_at"
-)
+def _cache_columns(number: str) -> str:
+    return (
+        f"'p' || CAST({number} AS STRING) AS pattern, CASE WHEN event_id % 2 = 0 THEN 'openai' ELSE 'ollama' END AS provider, 'm' AS model, 'e' || CAST(event_id AS STRING) AS explanation, "
+        "CAST(NULL AS STRING) AS root_cause, CASE WHEN event_id % 3 = 0 THEN 'broken' ELSE '[{\"description\":\"d\",\"priority\":1}]' END AS suggestions, 1700000000 + event_id * 3600 AS created_at"
+    )
 
 
-def _cache(spark, sf_dir, cond: str) -> DataFrame:
+def _cache(spark, sf_dir, number: str = "event_id") -> DataFrame:
     prepare(spark)
-    return table(spark, sf_dir, "events").where(cond).selectExpr(*_split_select(_CACHE))
+    return table(spark, sf_dir, "events").selectExpr(*_split_select(_cache_columns(number)))
 
 
 @query(
     "cache_lookup",
-    f"WITH c AS (SELECT {_CACHE} FROM events WHERE event_id <= 400), g AS (SELECT 'p' || CAST(event_id AS VARCHAR) AS pattern FROM events WHERE event_id <= 300), "
+    f"WITH c AS (SELECT {_cache_columns('event_id')} FROM events), g AS (SELECT 'p' || CAST(event_id * 3 AS VARCHAR) AS pattern FROM events), "
     "h AS (SELECT * FROM c WHERE provider = 'openai' AND model = 'm') SELECT pattern, explanation, CASE WHEN explanation IS NULL THEN NULL WHEN suggestions = 'broken' THEN 0 ELSE 1 END AS n_suggestions FROM g LEFT JOIN h USING (pattern)",
 )
 def cache_lookup(spark, sf_dir):
-    groups = table(spark, sf_dir, "events").where("event_id <= 300").select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("pattern"))
-    found = ca.lookup(groups, _cache(spark, sf_dir, "event_id <= 400"), "openai", "m")
+    cache = _cache(spark, sf_dir)
+    groups = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), (F.col("event_id") * 3).cast("string")).alias("pattern"))
+    found = ca.lookup(groups, cache, "openai", "m")
     return found.select("pattern", "explanation", F.when(F.col("suggestions").isNotNull(), F.size("suggestions")).alias("n_suggestions"))
 
 
-@query("cache_upsert", f"WITH c AS (SELECT {_CACHE} FROM events WHERE event_id <= 400), n AS (SELECT {_CACHE} FROM events WHERE event_id BETWEEN 801 AND 1000) SELECT pattern, provider, explanation FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pattern = c.pattern AND n.provider = c.provider AND n.model = c.model) UNION ALL SELECT pattern, provider, explanation FROM n")
+@query("cache_upsert", f"WITH c AS (SELECT {_cache_columns('event_id')} FROM events), n AS (SELECT {_cache_columns('event_id * 4')} FROM events) SELECT pattern, provider, explanation FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pattern = c.pattern AND n.provider = c.provider AND n.model = c.model) UNION ALL SELECT pattern, provider, explanation FROM n")
 def cache_upsert(spark, sf_dir):
-    return ca.upsert(_cache(spark, sf_dir, "event_id <= 400"), _cache(spark, sf_dir, "event_id BETWEEN 801 AND 1000")).select("pattern", "provider", "explanation")
+    return ca.upsert(_cache(spark, sf_dir), _cache(spark, sf_dir, "event_id * 4")).select("pattern", "provider", "explanation")
 
 
-@query("cache_expire", f"WITH c AS (SELECT {_CACHE} FROM events) SELECT pattern, provider, created_at FROM c WHERE created_at >= 1700000000 + 3600 * 200 - 5 * 86400")
+@query("cache_expire", f"WITH c AS (SELECT {_cache_columns('event_id')} FROM events) SELECT pattern, provider, created_at FROM c WHERE created_at >= 1700000000 + 3600 * 200 - 5 * 86400")
 def cache_expire(spark, sf_dir):
-    return ca.expire(_cache(spark, sf_dir, "true"), 1_700_000_000 + 3600 * 200, 5).select("pattern", "provider", "created_at")
+    return ca.expire(_cache(spark, sf_dir), 1_700_000_000 + 3600 * 200, 5).select("pattern", "provider", "created_at")
 
 
 _RESPONSE = (
@@ -715,8 +718,6 @@ def typed_responses(spark, sf_dir):
 def stream_group_counts(spark, sf_dir):
     """The counts of the batch query, made by a stream over the same table."""
     prepare(spark)
-    import uuid
-
     name = f"tidelog_stream_{uuid.uuid4().hex}"
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("line", F.expr(line_sql("plain_z", "spark")))
