@@ -1,5 +1,21 @@
-"""DuckDB statements that check queries of this subpackage."""
+"""DuckDB statements that check queries of this subpackage; the others are tested against brute force in tests/llm."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tidelog.functions.text import PATTERN
+
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+        WITH t AS (SELECT 'entry' AS record_kind, entry_id AS id, {_WORDS.format('message')} AS w FROM entries
+            UNION ALL SELECT 'group', group_no, {_WORDS.format('pattern')} FROM error_groups),
+        l AS (SELECT * FROM t WHERE len(w) >= 60)
+        SELECT a.record_kind, a.id AS id_a, b.id AS id_b FROM l a JOIN l b ON a.record_kind = b.record_kind AND a.id < b.id
+        WHERE len(list_intersect(a.w, b.w)) * 10 >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
+    "p3_found": f"""
+        WITH o AS (SELECT file_id, entry_no, message, row_number() OVER (PARTITION BY file_id, entry_no ORDER BY entry_id) AS copy FROM entries),
+        k AS (SELECT file_id, entry_no, coalesce(regexp_replace(lower(regexp_replace(message, '{PATTERN}', '<DYNAMIC>', 'g')), '[^a-z]', '', 'g'), '#' || CAST(entry_no AS VARCHAR)) AS event FROM o WHERE copy = 1),
+        s AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY entry_no) - row_number() OVER (PARTITION BY file_id, event ORDER BY entry_no) AS part FROM k)
+        SELECT file_id, min(entry_no) AS first_no, max(entry_no) AS last_no, count(*) AS n_events FROM s GROUP BY file_id, event, part HAVING count(*) >= 3""",
+}
