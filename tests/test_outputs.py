@@ -1,0 +1,98 @@
+"""Sources, reports, configuration, enrichment and streams."""
+
+import json
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.cli import main
+from tidelog.operators.enrich import MockProvider, NoProvider, enrich, with_retries
+from tidelog.sinks import reports
+from tidelog.sources.config import ParserConfig, ProviderChoice
+from tidelog.sources.lines import read_folder, read_lines
+from tidelog.streaming.watch import pattern_counts, stitched_batches, watch_lines, windowed_counts
+
+LOG = "2024-01-01T00:00:00Z ERROR down: Exception\r\n\tat a.B.c(D.java:1)\r\n2024-01-01T00:00:05Z WARN slow\r\n2024-01-01T00:00:06Z INFO fine\r\n"
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_bytes(LOG.encode())
+    (tmp_path / "in" / "b.txt").write_bytes(b"ERROR no")
+    (tmp_path / "in" / "c.log").write_bytes(b"ERROR bad \xff byte\n")
+    return tmp_path
+
+
+def test_sources(spark, folder):
+    rows = read_folder(spark, str(folder / "in")).collect()
+    assert len(rows) == 5 and any("�" in r.line for r in rows) and not any(r.line.endswith("\r") for r in rows)
+    with pytest.raises(Exception, match="(?i)utf"):
+        read_lines(spark, str(folder / "in" / "c.log"), lossy=False).collect()
+
+
+@pytest.mark.parametrize("fmt", ["json", "terminal", "html"])
+def test_command_line(spark, folder, fmt, capsys):
+    target = folder / "out" / f"r.{fmt}"
+    assert main(["investigate", str(folder / "in" / "a.log"), "--format", fmt, "--output", str(target)]) == 0
+    text = target.read_text()
+    if fmt == "json":
+        groups = json.loads(text)
+        assert [(g["severity"], g["cnt"]) for g in groups] == [("Error", 1), ("Warning", 1)]
+    else:
+        assert "down: Exception" in text and "slow" in text and "fine" not in text
+    assert main(["investigate", str(folder / "in" / "a.log"), "--severity", "warn", "--format", "terminal"]) == 0
+    assert "down" not in capsys.readouterr().out
+
+
+def test_reports_escape_and_limit():
+    group = {"severity": "Error", "pattern": "<b>", "cnt": 2, "first_seen": None, "last_seen": datetime(2024, 1, 1), "entries": [{"ts": None, "raw": "Jan 1 x", "message": "<i>"}]}
+    page = reports.to_html([group], 1, 2)
+    assert "&lt;b&gt;" in page and "<time>Jan 1</time>" in page and "<b>" not in page
+    assert "(2 occurrences)" in reports.terminal([group], 1, 2, datetime(2024, 1, 2, tzinfo=timezone.utc))
+    assert reports.pick_format("json", "terminal") == "json" and reports.pick_format("html", "terminal") == "terminal" and reports.pick_format(None, None) == "html"
+
+
+def test_config(tmp_path):
+    path = tmp_path / "p.toml"
+    path.write_text("chunk_size = 0\nmultiline_timeout_ms = 7\n")
+    config = ParserConfig.load(str(path))
+    assert config.multiline_timeout_ms == 7 and config.problems() == ["chunk_size must be positive"] and ParserConfig.load(None) == ParserConfig()
+    assert ProviderChoice.pick("OpenAI", {"providers": {"openai": {"model": "m"}}}, {"OPENAI_API_KEY": "k"}) == ProviderChoice("openai", "m", "k")
+    with pytest.raises(ValueError, match="unknown provider"):
+        ProviderChoice.pick("x", {}, {})
+
+
+class Failing:
+    name = "failing"
+
+    def analyze(self, prompt):
+        raise RuntimeError("401 unauthorized" if "first" in prompt else "connection reset")
+
+
+def test_enrichment(spark):
+    prompts = spark.createDataFrame([("g1", "Pattern: first"), ("g2", "Pattern: b")], "group_id string, prompt string")
+    got = {r.group_id: r for r in enrich(prompts, MockProvider(), 2).collect()}
+    assert got["g1"].analysis.explanation == "about first" and got["g1"].attempts == 1 and got["g1"].analysis.suggestions == []
+    failed = {r.group_id: (r.analysis, r.attempts) for r in enrich(prompts, Failing(), 2, retries=1, initial_ms=1, max_ms=1).collect()}
+    assert failed == {"g1": (None, 1), "g2": (None, 2)}
+    assert enrich(prompts, NoProvider(), 1).first().analysis.explanation.startswith("AI analysis not enabled")
+    with pytest.raises(ValueError, match="concurrency"):
+        enrich(prompts, NoProvider(), 0)
+    assert with_retries(lambda: "x", 0, 1, 1) == ("x", 1, None)
+
+
+def test_streams_agree_with_batch(spark, folder):
+    lines = watch_lines(spark, str(folder / "in"))
+    q = pattern_counts(lines).writeStream.outputMode("complete").format("memory").queryName("t1").trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = pattern_counts(read_lines(spark, str(folder / "in")).select("line"))
+    assert sorted(map(tuple, spark.table("t1").collect())) == sorted(map(tuple, batch.collect()))
+    q = windowed_counts(lines).writeStream.outputMode("complete").format("memory").queryName("t2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("t2").agg(F.sum("cnt")).first()[0] == 2
+    seen = []
+    q = stitched_batches(spark, str(folder / "in"), str(folder / "cp"), lambda df, n: seen.extend(r.n_lines for r in df.collect()))
+    q.awaitTermination()
+    assert sorted(seen) == [1, 1, 1, 1, 2]

@@ -35,8 +35,11 @@ def windowed_counts(lines: DataFrame, window: str = "10 minutes", late: str = "1
 
 def stitched_batches(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Whole entries of each batch of files, which must not split a trace: ``handle`` gets (source, line_no, line, n_lines)."""
-    df = spark.readStream.option("lineSep", "\n").text(folder).select(
-        F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("line_no"), F.make_valid_utf8("value").alias("line")
-    )
-    start = df.writeStream.foreachBatch(lambda batch, n: handle(stitch(batch), n)).option("checkpointLocation", checkpoint)
+    df = spark.readStream.option("lineSep", "\n").text(folder)
+    df = df.select(F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("line"))
+
+    def whole(batch: DataFrame, n: int) -> None:
+        handle(stitch(batch.withColumn("line_no", F.monotonically_increasing_id())), n)
+
+    start = df.writeStream.foreachBatch(whole).option("checkpointLocation", checkpoint)
     return start.trigger(availableNow=True).start()
