@@ -111,8 +111,10 @@ class Bigrams:
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def of(self, a: str, b: str) -> float:
-        seen = self.counts.get(_bucket(a, b), 0)
-        return math.log((seen + 0.05) / (self.counts.get(_bucket(a, ""), 0) + 10.0))
+        """Log-probability of ``b`` after ``a``; without evidence that of ``b`` by itself."""
+        count = self.counts.get
+        alone = (count(_bucket(b, ""), 0) + 0.05) / (count(_bucket("", ""), 0) + 50.0)
+        return math.log((count(_bucket(a, b), 0) + 2.0 * alone) / (count(_bucket(a, ""), 0) + 2.0))
 
     def score(self, text: str) -> float:
         return sum(self.piece(text[max(0, m.start() - 1) : m.end() + 1]) for m in _RUN.finditer(text))
@@ -284,6 +286,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in _clean_pairs(text or ""):
                 counts[_bucket(a, b)] += 1
                 counts[_bucket(a, "")] += 1
+                counts[_bucket("", "")] += 1
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["bucket", "n"])
 
 

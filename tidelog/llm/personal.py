@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 # Anchors in folded text, by the parser that expands them.
-AT_SIGNS = ("@", "%40", "&#64;", "&#x40;", "&commat;", "\\u0000", "[at]", "(at)", "{at}", "<at>", " at ", "＠")
+AT_SIGNS = ("@", "%40", "&#64;", "&#x40;", "&commat;", "\\u0040", "[at]", "(at)", "{at}", "<at>", " at ", "＠")
 PHONE_SHAPES = ("+0", "(000)", "(00000)", "000-000-0000", "000.000.0000", "000 000 0000", "0000-00-00", "00000 000 000", "00000 000000", "tel:")
 ID_CUES = (
     "ssn", "social security", "national id", "identity card", "id card", "personalausweis", "passport", "reisepass", "licence",
@@ -71,7 +71,7 @@ _PHONES = [
 ]
 _ID_VALUE = re.compile(
     r"(?:\s*(?:(?:no|nr|number|num|nummer|id|card|is)(?![A-Za-z0-9])\.?|[#:=\"'])){0,5}\s*"
-    r"((?=[A-Za-z0-9.\-/ ]*\d)(?:[A-Z]{1,6}[ -]?)?\d(?:[ .\-/]?[A-Z0-9]){4,17})(?![A-Za-z0-9])",
+    r"((?:[A-Z]{1,6}[ -]?)?\d(?:[ .\-/]?\d|[A-Z](?=\d|[^A-Z0-9]|$)){4,17})(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
 _SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\w)")
@@ -118,7 +118,7 @@ def parse_email(text: str, start: int, end: int, anchor: str) -> tuple[int, int]
     left, right = text[max(0, start - 80) : start], text[end : end + 160]
     if spoken and anchor != " at ":
         left, right = left.rstrip(), right.lstrip()
-    elif anchor == "\\u0000" and text[start:end].lower() != "\\u0040":
+    elif "0" in anchor and text[start:end].lower() not in AT_SIGNS:
         return None
     local = _LOCAL_END.search(left)
     domain = (_SPOKEN if anchor == " at " else _DOMAIN).match(right)
@@ -259,7 +259,7 @@ class Finder:
         anchors: dict[str, list[tuple[str, str]]] = {}
         for kind, words in (("email", AT_SIGNS), ("phone", PHONE_SHAPES), ("id_number", ID_CUES), ("address", STREET_CUES), ("cue", PERSON_CUES), ("name", self.kinds)):
             for w in words:
-                anchors.setdefault(w, []).append((kind, w))
+                anchors.setdefault(fold(w), []).append((kind, fold(w)))
         for w, kinds in anchors.items():
             self.automaton.add_word(w, kinds)
         self.automaton.make_automaton()
