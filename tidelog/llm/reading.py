@@ -9,8 +9,10 @@ band that most of its own sentences have.  Quotes, signatures, markup and pasted
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.session import small_side
+
 #: Bounds of what the ranker is trained on: graded posts (by a hash of their id), pairs, and their sentences.
 MOST_GRADED, MOST_PAIRS = 1_500, 15_000
 #: Sentences of a graded post that are learnt from; all that reaches the driver is below 70 MB.
@@ -34,6 +38,7 @@ LINKS = frozenset(
     "although because since if which that whereas while unless therefore however nevertheless notwithstanding insofar whatever whose whom "
     "before after when where whether though thus hence moreover".split()
 )
+_VOWELS = re.compile("[aeiouy]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _QUOTE = re.compile(r"\[quote\b[^\]]*\]|\[/quote\]|<blockquote\b[^>]*>|</blockquote>", re.IGNORECASE)
 _SAID = re.compile(r"^[ \t]*(?:on\b[^\n]{3,60}\bwrote|[^\s:]{1,40} (?:said|wrote|schrieb|a écrit|dijo))[ \t]*:[ \t]*$", re.IGNORECASE)
@@ -133,18 +138,23 @@ def sentences(text: str) -> list[tuple[list[str], int, bool]]:
 N_FEATURES = 10 + VOCABULARY_BUCKETS
 
 
+@lru_cache(maxsize=50_000)
+def _word(w: str) -> tuple[int, float, int, int, int, int]:
+    """Letters, their logarithm, vowel groups, link, "and" and bucket of a word."""
+    return len(w), math.log(len(w)), max(1, len(_VOWELS.findall(w))), w in LINKS, w == "and", 10 + crc32(w.encode()) % VOCABULARY_BUCKETS
+
+
 def features(words: list[str], commas: int) -> np.ndarray:
     """Syntax and vocabulary of one sentence, as rates a word."""
     n = len(words)
-    sizes = np.array([len(w) for w in words], float)
-    vowels = [max(1, len(re.findall("[aeiouy]+", w))) for w in words]
-    x = np.zeros(N_FEATURES)
+    sizes, logs, vowels, links, ands, buckets = zip(*map(_word, words))
+    x = np.zeros(N_FEATURES, np.float32)
     x[:10] = (
-        sizes.mean(), np.log(sizes).mean(), (sizes >= 7).mean(), (sizes >= 10).mean(), (sizes <= 3).mean(), sizes.max(),
-        sum(vowels) / n, commas / n, sum(w in LINKS for w in words) / n, sum(w == "and" for w in words) / n,
+        sum(sizes) / n, sum(logs) / n, sum(s >= 7 for s in sizes) / n, sum(s >= 10 for s in sizes) / n, sum(s <= 3 for s in sizes) / n, max(sizes),
+        sum(vowels) / n, commas / n, sum(links) / n, sum(ands) / n,
     )
-    for w in words:
-        x[10 + crc32(w.encode()) % VOCABULARY_BUCKETS] += 1 / n
+    for b in buckets:
+        x[b] += 1 / n
     return x
 
 
@@ -246,8 +256,9 @@ def graded_posts(documents: DataFrame, labels: DataFrame) -> list:
     """Features of the graded posts with the median of their grades; at most MOST_GRADED, by a hash of the id."""
     median = labels.where("band BETWEEN 1 AND 3").groupBy("doc_id").agg(F.percentile("band", 0.5).alias("grade"))
     bounded = median.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_GRADED)
-    texts = documents.where("text IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
-    rows = texts.join(bounded, "doc_id").select("text", "grade").mapInArrow(_reduce, "grade DOUBLE, x BINARY, sizes ARRAY<INT>")
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
+    graded = texts.join(small_side(bounded), "doc_id").dropDuplicates(["doc_id"])
+    rows = graded.select("text", "grade").mapInArrow(_reduce, "grade DOUBLE, x BINARY, sizes ARRAY<INT>")
     posts = []
     for grade, x, sizes in rows.toLocalIterator():
         posts.append((list(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES)), [(abs(s), s > 0) for s in sizes], grade))
