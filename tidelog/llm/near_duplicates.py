@@ -95,6 +95,23 @@ def depth_for(similarity: float, deepest: int = DEEPEST) -> int:
     return 0
 
 
+def _own_depths(frequent: frozenset[int], threshold: float):
+    """The number of texts of each depth."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.array(sorted(frequent), np.int64)
+        own: dict[int, int] = {}
+        for b in batches:
+            for words in b["words"]:
+                words = words.values.to_numpy()
+                rare = len(words) - int(np.isin(words, common).sum())
+                depth = depth_for(guaranteed(rare, len(words), threshold))
+                own[depth] = own.get(depth, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["depth", "n"])
+
+    return count
+
+
 def _emit(frequent: frozenset[int], threshold: float, levels: dict[int, range], any_short: bool):
     """Forest rows of a text: bucket (tree, level and label prefix), class, mark and sketch.
 
@@ -253,13 +270,8 @@ def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """
     n, n_words = classes.agg(F.count("*"), F.sum(F.size("words"))).first()
     frequent = frequent_words(classes, n, n_words) if n else frozenset()
-    rare = F.size(F.array_except("words", F.lit(sorted(frequent)))) if frequent else F.size("words")
-    # texts by their share of rare words in hundredths, rounded down, which bounds their depths from below
-    shares = classes.groupBy(F.floor(rare * 100 / F.size("words")).alias("s")).count().collect()
-    depths: dict[int, int] = {}
-    for share, count in shares:
-        for d in {depth_for(guaranteed(share, 100, threshold)), depth_for(guaranteed(share + 1, 100, threshold))}:
-            depths[d] = depths.get(d, 0) + count
+    counted = classes.mapInArrow(_own_depths(frequent, threshold), "depth INT, n BIGINT").groupBy("depth").agg(F.sum("n"))
+    depths = {depth: count for depth, count in counted.collect()}
     deeper, levels = filed_levels(depths)
     forest = classes.mapInArrow(
         _emit(frequent, threshold, levels, 0 in depths), "bucket BIGINT, kind STRING, cls BIGINT, mark INT, sketch BINARY"

@@ -21,6 +21,8 @@ from tidelog.session import cut
 DIMENSIONS, BITS = 3, 10
 #: Items of one window, and containers' worth of tokens of one range.
 WINDOW, LEAST_CONTAINERS = 2048, 256
+#: Items of a range, from which on there are more ranges than the session's shuffle partitions.
+ITEMS_OF_RANGE = 500_000
 #: Most sizes of containers; they are read to the driver.
 MOST_SIZES = 1000
 
@@ -152,7 +154,8 @@ def packed(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY)
     if len(found) > MOST_SIZES:
         raise ValueError(f"more than {MOST_SIZES} sizes")
     docs = cut(measured(documents, vocabulary))
-    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+    n_docs, total = docs.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    most_ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_docs // ITEMS_OF_RANGE)
     out = docs.sparkSession.createDataFrame([], PACKED)
     for size_name, capacity in sorted((tuple(r) for r in found), key=lambda r: (r[1], str(r[0]))):
         empty = docs.where("n_tokens = 0").select(
@@ -163,7 +166,7 @@ def packed(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY)
         pieces = docs.where("n_tokens > 0").select("doc_id", "curve", "n_tokens", number.alias("piece_no"))
         start = F.col("piece_no").cast("bigint") * capacity
         pieces = pieces.select("doc_id", "curve", "piece_no", start.alias("start_token"), F.least(F.lit(capacity), F.col("n_tokens") - start).alias("size"))
-        ranges = int(max(1, total // (capacity * LEAST_CONTAINERS)))
+        ranges = int(max(1, min(most_ranges, total // (capacity * LEAST_CONTAINERS))))
         ranged = pieces.repartitionByRange(ranges, "curve", "doc_id", "piece_no").sortWithinPartitions("curve", "doc_id", "piece_no")
         ranged = ranged.withColumn("chunk", F.spark_partition_id().cast("bigint"))
         out = out.unionByName(ranged.mapInArrow(_pack(size_name, capacity), PACKED)).unionByName(empty)
