@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.session import cut
@@ -161,3 +161,18 @@ def runs_in_order(df: DataFrame, least: int = 1) -> DataFrame:
     place count once, the first of them.  Runs of fewer than ``least`` rows are left out.
     """
     return close_edges(df.select("chunk", "grp", "no", "key", "t", "tag").mapInArrow(encode_chunk(least), RUN), least)
+
+
+def number_within(df: DataFrame, group: str, place: str, name: str) -> DataFrame:
+    """``df`` with the number of each row within its group, in the order of ``place``; a hot group spreads over chunks.
+
+    Rows are numbered within their chunk; what the chunks before hold of the group is added, from a table of about as
+    many rows as there are chunks and groups in them.
+    """
+    ranged = cut(by_ranges(df, group, place).withColumn("_tl_at", F.monotonically_increasing_id()))
+    own = F.row_number().over(Window.partitionBy(group, "chunk").orderBy("_tl_at"))
+    counts = ranged.groupBy(group, "chunk").agg(F.count("*").alias("_tl_n"))
+    earlier = Window.partitionBy(group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col(group).alias("_tl_g"), F.col("chunk").alias("_tl_c"), F.coalesce(F.sum("_tl_n").over(earlier), F.lit(0)).alias("_tl_before"))
+    both = ranged.withColumn("_tl_own", own).join(before, (F.col(group) == F.col("_tl_g")) & (F.col("chunk") == F.col("_tl_c")))
+    return both.withColumn(name, F.col("_tl_before") + F.col("_tl_own")).drop("_tl_at", "_tl_own", "_tl_g", "_tl_c", "_tl_before", "chunk")

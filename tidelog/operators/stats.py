@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
+def _side_by_side(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(total_lines, parsed_entries, multiline_entries): one row, from the counts of either side."""
+    zero = F.lit(0).cast("bigint")
+    multi = F.count_if(F.contains(F.col("message"), F.lit("\n")))
+    parts = lines.agg(F.count("*").alias("a"), zero.alias("b"), zero.alias("c")).unionByName(
+        entries.agg(zero.alias("a"), F.count("*").alias("b"), multi.alias("c"))
+    )
+    return parts.agg(F.sum("a").alias("total_lines"), F.sum("b").alias("parsed_entries"), F.sum("c").alias("multiline_entries"))
+
+
 def parse_counts(lines: DataFrame, entries: DataFrame) -> DataFrame:
     """(total_lines, parsed_entries, parse_errors): blank and stitched lines count as errors."""
-    total = lines.agg(F.count("*").alias("total_lines"))
-    parsed = entries.agg(F.count("*").alias("parsed_entries"))
-    both = total.crossJoin(F.broadcast(parsed))  # one row each
+    both = _side_by_side(lines, entries)
     return both.select("total_lines", "parsed_entries", (F.col("total_lines") - F.col("parsed_entries")).alias("parse_errors"))
 
 
 def parsing_statistics(lines: DataFrame, entries: DataFrame, duration_ms: int, errors: int = 0) -> DataFrame:
     """Counters with throughput (0 for no time) and success rate (0 for no lines)."""
-    multi = F.count_if(F.contains(F.col("message"), F.lit("\n")))
-    parsed = entries.agg(F.count("*").alias("parsed_entries"), multi.alias("multiline_entries"))
-    both = lines.agg(F.count("*").alias("total_lines")).crossJoin(F.broadcast(parsed))
     seconds = duration_ms / 1000
-    return both.select(
+    return _side_by_side(lines, entries).select(
         "total_lines", "parsed_entries", F.lit(errors).cast("bigint").alias("parse_errors"), "multiline_entries",
         F.lit(duration_ms).cast("bigint").alias("duration_ms"),
         (F.col("total_lines") / seconds if duration_ms else F.lit(0.0)).alias("throughput"),
@@ -28,6 +33,13 @@ def parsing_statistics(lines: DataFrame, entries: DataFrame, duration_ms: int, e
     )
 
 
+def observed(entries: DataFrame, name: str = "parsing") -> tuple[DataFrame, Observation]:
+    """The entries, and counters that are filled while some other action reads them."""
+    watch = Observation(name)
+    multi = F.count_if(F.contains(F.col("message"), F.lit("\n")))
+    return entries.observe(watch, F.count(F.lit(1)).alias("parsed_entries"), multi.alias("multiline_entries")), watch
+
+
 def analysis_statistics(calls: DataFrame) -> DataFrame:
     """Counters over the calls: cached BOOLEAN, success BOOLEAN, duration_ms, attempts.
 

@@ -9,7 +9,7 @@ from tidelog.formats.registry import FORMATS
 from tidelog.operators.detect import detect_sources
 from tidelog.operators.grouping import group_entries, ranked
 from tidelog.operators.stitch import stitch
-from tidelog.session import cut
+from tidelog.session import cut, small_side
 
 
 def parse_lines(lines: DataFrame, fmt: str = "auto", multiline: bool = True, year: int = 1970) -> DataFrame:
@@ -21,7 +21,7 @@ def parse_lines(lines: DataFrame, fmt: str = "auto", multiline: bool = True, yea
     if fmt in FORMATS:
         with_format = lines.select("source", "line_no", "line", F.lit(fmt).alias("format"))
     else:
-        with_format = lines.join(cut(detect_sources(lines)), "source").select("source", "line_no", "line", "format")
+        with_format = lines.join(small_side(cut(detect_sources(lines))), "source").select("source", "line_no", "line", "format")
     parts = []
     for name in [fmt] if fmt in FORMATS else FORMATS:
         own = with_format.where(F.col("format") == name).drop("format")

@@ -493,7 +493,7 @@ def group_examples(spark, sf_dir):
     return gr.with_examples(gr.group_entries(df, AS_OF), df).select("pattern", "cnt", "example_message")
 
 
-@query("occurrence_numbers", f"{_GROUP_CTE} SELECT entry_no, pattern, CAST(row_number() OVER (PARTITION BY pattern ORDER BY entry_no) AS INT) AS occurrence FROM g")
+@query("occurrence_numbers", f"{_GROUP_CTE} SELECT entry_no, pattern, row_number() OVER (PARTITION BY pattern ORDER BY entry_no) AS occurrence FROM g")
 def occurrence_numbers(spark, sf_dir):
     return gr.occurrences(_entries(spark, sf_dir)).select("entry_no", "pattern", "occurrence")
 
