@@ -1,11 +1,14 @@
 """Record parsers P1-P18: a DataFrame with ``line`` -> records.  Lines that don't match are left out.
 
-Every parser keeps the columns of its input and adds ts, severity, message, file, line_number (as ``line`` is taken),
-function, thread, extra and raw.  Expressions only, no Python.
+Every parser keeps the columns of its input, except ``line``, and adds the record columns; clashing ones are
+replaced.  Expressions only, no Python: a line is trimmed once and matched once, all groups come out of that match,
+and a generator drops the lines that don't match without evaluating the record a second time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,23 @@ JSON_CONSUMED = ("message", "msg", "text", "level", "severity", "timestamp", "ti
 
 
 
+#: Columns of a record.
+COLUMNS = ("ts", "severity", "message", "file", "file_line", "function", "thread", "extra", "raw")
+
+
 def json_guard(t: Column) -> Column:
     """Strict JSON objects only; a lenient parser would accept trailing text."""
-    wrapped = F.concat(F.lit("["), t, F.lit("]"))
-    return F.coalesce(
-        t.startswith("{") & t.endswith("}") & (F.json_array_length(wrapped) == 1) & F.try_parse_json(wrapped).isNotNull(), F.lit(False)
-    )
+    return let(_wrapped(t), lambda v: F.coalesce(_is_one(t, v), F.lit(False)))
+
+
+def _wrapped(t: Column) -> Column:
+    """The text as the only element of a JSON array, which rejects anything after it."""
+    return F.when(t.startswith("{") & t.endswith("}"), F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))))
+
+
+def _is_one(t: Column, wrapped: Column) -> Column:
+    second = F.try_variant_get(wrapped, "$[1]", "variant")
+    return wrapped.isNotNull() & second.isNull()
 
 
 def is_apache(line: Column) -> Column:
@@ -64,79 +78,82 @@ def _unless_dash(c: Column) -> Column:
     return F.when(c != "-", c)
 
 
-def _group(t: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(t, pattern, i)
+def _record(t: Column, **fields: Column) -> Column:
+    """The struct of a record; metadata not given is null."""
+    none, no_time, no_number = F.lit(None).cast("string"), F.lit(None).cast("timestamp"), F.lit(None).cast("bigint")
+    defaults = {"ts": no_time, "file_line": no_number, "message": t, "extra": _extra({}), "raw": t}
+    return F.struct(*(fields.get(c, defaults.get(c, none)).alias(c) for c in COLUMNS))
 
 
-def _records(df: DataFrame, matches: Column, **fields: Column) -> DataFrame:
-    """The matching lines with the record columns; metadata not given is null.
+def _records(df: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
+    """The records that ``build`` makes of the trimmed lines, without those of which it makes null."""
+    kept = [c for c in df.columns if c not in COLUMNS and c != "line"]
+    record = let(trim_unicode(F.col("line")), lambda t: F.when(t != "", build(t)))
+    df = df.select(*kept, F.explode(F.array_compact(F.array(record))).alias("_tl_r"))
+    return df.select(*kept, *(F.col(f"_tl_r.{c}").alias(c) for c in COLUMNS))
 
-    ``record`` gives them as one struct instead.
-    """
-    none = F.lit(None).cast("string")
-    t = F.col("_tl_t")
-    record = fields.pop("record", None)
-    if record is not None:
-        fields = {k: F.col(f"_tl_r.{k}") for k in ("ts", "severity", "message", "file", "line", "function", "thread", "extra")}
-    columns = {
-        "ts": fields.get("ts", F.lit(None).cast("timestamp")),
-        "severity": fields["severity"],
-        "message": fields.get("message", t),
-        "file": fields.get("file", none),
-        "file_line": fields.get("line", F.lit(None).cast("bigint")),
-        "function": fields.get("function", none),
-        "thread": fields.get("thread", none),
-        "extra": fields.get("extra", _extra({})),
-        "raw": t,
-    }
-    kept = [c for c in df.columns if c not in columns]
-    df = df.withColumn("_tl_t", trim_unicode(F.col("line"))).where((F.col("_tl_t") != "") & matches)
-    if record is not None:
-        df = df.withColumn("_tl_r", record)
-    return df.select(*kept, *(v.alias(k) for k, v in columns.items()))
 
+def _match(t: Column, pattern: str, groups: int, body: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """``body`` of the groups of one match of a pattern from the beginning of ``t``; null if there is none.
 
+    Groups that took no part are ''.
+    """
+    listed = "\u0001" + "\u0002".join(f"${i}" for i in range(1, groups + 1))
+    whole = F.regexp_replace(t, pattern.removesuffix("$") + r"(?s:.*)\z", listed)
+    parts = lambda x: let(F.split(F.substring(x, 2, 2**30), "\u0002", -1), lambda p: body(lambda i: F.get(p, F.lit(i - 1))))
+    return let(whole, lambda x: F.when(x.startswith("\u0001"), parts(x)))
 
 
 def parse_plain(df: DataFrame) -> DataFrame:
     """The whole line is the message; the first timestamp-like text must carry a zone."""
-    t = F.col("_tl_t")
-    return _records(df, F.lit(True), ts=tm.rfc3339(F.regexp_replace(_group(t, PLAIN_TIME, 1), r"^(\S{10})\s", "$1T")), severity=sev.plain_severity(t))
 
+    def build(t: Column) -> Column:
+        stamp = F.regexp_replace(F.regexp_extract(t, PLAIN_TIME, 1), r"^(\S{10})\s", "$1T")
+        return _record(t, ts=let(stamp, tm.rfc3339), severity=sev.plain_severity(t))
 
-def _json_fields(fields: Column) -> Column:
+    return _records(df, build)
+
+
+def _json_fields(t: Column, fields: Column) -> Column:
     """The record of a JSON object, given as a map of variants."""
-    has = lambda k: F.map_contains_key(fields, F.lit(k))
-    kind = lambda k: F.schema_of_variant(F.element_at(fields, k))
-    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get(F.element_at(fields, k), "$", "string"))
-    whole = lambda k: F.when(kind(k) == "BIGINT", F.try_variant_get(F.element_at(fields, k), "$", "bigint"))
+    kind = lambda v: F.schema_of_variant(v)
+    as_text = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    as_whole = lambda v: F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
-    def first(keys: tuple[str, ...], value) -> Column:
-        out = F.when(has(keys[0]), value(keys[0]))
+    def first(keys: tuple[str, ...], value: Callable[[Column], Column]) -> Column:
+        """``value`` of the first key that is present."""
+        out = F.when(F.map_contains_key(fields, F.lit(keys[0])), F.element_at(fields, keys[0]))
         for k in keys[1:]:
-            out = out.when(has(k), value(k))
-        return out
-
-    def time_of(k: str) -> Column:
-        return F.coalesce(let(text(k), lambda t: F.coalesce(tm.rfc3339(t), tm.rfc2822(t))), tm.epoch_seconds(whole(k)))
-
-    strings = F.map_filter(fields, lambda k, v: (F.schema_of_variant(v) == "STRING") & ~k.isin(*JSON_CONSUMED))
-    return F.struct(
-        first(JSON_TIME, time_of).alias("ts"),
-        F.coalesce(first(JSON_LEVEL, lambda k: sev.json_severity(text(k))), F.lit("Unknown")).alias("severity"),
-        F.coalesce(first(JSON_MESSAGE, text), F.lit("")).alias("message"),
-        text("file").alias("file"),
-        let(whole("line"), lambda n: F.when(n >= 0, n.bitwiseAND(0xFFFFFFFF))).alias("line"),
-        F.coalesce(text("function"), text("func")).alias("function"),
-        F.coalesce(text("thread"), text("thread_id")).alias("thread"),
-        F.transform_values(strings, lambda _, v: F.try_variant_get(v, "$", "string")).alias("extra"),
+            out = out.when(F.map_contains_key(fields, F.lit(k)), F.element_at(fields, k))
+        return let(out, value)
+
+    def time_of(v: Column) -> Column:
+        text = let(as_text(v), lambda x: F.coalesce(tm.rfc3339(x), tm.rfc2822(x)))
+        return F.when(kind(v) == "STRING", text).otherwise(tm.epoch_seconds(as_whole(v)))
+
+    text = lambda k: let(F.try_element_at(fields, F.lit(k)), as_text)
+    strings = F.map_filter(fields, lambda k, v: ~k.isin(*JSON_CONSUMED) & (kind(v) == "STRING"))
+    return _record(
+        t,
+        ts=first(JSON_TIME, time_of),
+        severity=F.coalesce(first(JSON_LEVEL, lambda v: sev.json_severity(as_text(v))), F.lit("Unknown")),
+        message=F.coalesce(first(JSON_MESSAGE, as_text), F.lit("")),
+        file=text("file"),
+        file_line=let(F.try_element_at(fields, F.lit("line")), lambda v: let(as_whole(v), lambda n: F.when(n >= 0, n.bitwiseAND(0xFFFFFFFF)))),
+        function=F.coalesce(text("function"), text("func")),
+        thread=F.coalesce(text("thread"), text("thread_id")),
+        extra=F.transform_values(strings, lambda _, v: F.try_variant_get(v, "$", "string")),
     )
 
 
 def parse_json(df: DataFrame) -> DataFrame:
     """P1-P3."""
-    parsed = let(F.try_variant_get(F.try_parse_json(F.col("_tl_t")), "$", "map<string,variant>"), _json_fields)
-    return _records(df, json_guard(F.col("_tl_t")), record=parsed)
+
+    def build(t: Column) -> Column:
+        fields = lambda v: let(F.try_variant_get(v, "$[0]", "map<string,variant>"), lambda m: _json_fields(t, m))
+        return let(_wrapped(t), lambda v: F.when(_is_one(t, v), fields(v)))
+
+    return _records(df, build)
 
 
 def clf_time(text: Column) -> Column:
@@ -146,65 +163,63 @@ def clf_time(text: Column) -> Column:
 
 def parse_apache(df: DataFrame) -> DataFrame:
     """The combined layout, else the common one."""
-    t = F.col("_tl_t")
-    g = lambda i: _group(t, APACHE_COMMON, i)
-    more = lambda i: F.when(t.rlike(APACHE_COMBINED), _unless_dash(_group(t, APACHE_COMBINED, i)))
-    status = g(5).cast("int")
-    return _records(
-        df,
-        t.rlike(APACHE_COMMON),
-        ts=clf_time(g(3)),
-        severity=sev.http_severity(status),
-        message=F.concat(status.cast("string"), F.lit(" "), g(4)),
-        extra=_extra({
-            "client_ip": g(1), "user": _unless_dash(g(2)), "status": status.cast("string"), "response_size": _unless_dash(g(6)),
-            "referrer": more(7), "user_agent": more(8),
-        }),
-    )
+
+    def build(t: Column) -> Column:
+        def fields(g: Callable[[int], Column]) -> Column:
+            status = g(5).cast("int")
+            extra = {
+                "client_ip": g(1), "user": _unless_dash(g(2)), "status": status.cast("string"), "response_size": _unless_dash(g(6)),
+                "referrer": F.when(g(7) == "1", _unless_dash(g(8))), "user_agent": F.when(g(7) == "1", _unless_dash(g(9))),
+            }
+            return _record(t, ts=clf_time(g(3)), severity=sev.http_severity(status), message=F.concat(status.cast("string"), F.lit(" "), g(4)), extra=_extra(extra))
+
+        return _match_apache(t, fields)
+
+    return _records(df, build)
+
+
+def _match_apache(t: Column, body: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """Groups 1 to 6 of the common layout; 7 is 1 for the combined one, whose last two are 8 and 9."""
+    listed = "\u0001" + "\u0002".join(f"${i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9))
+    pattern = APACHE_COMMON + r'(?:( )"([^"]*)" "([^"]*)")?(?s:.*)\z'
+    whole = F.regexp_replace(t, pattern, listed)
+    groups = lambda p: lambda i: F.when(F.get(p, F.lit(6)) == " ", "1") if i == 7 else F.get(p, F.lit(i - 1))
+    parts = lambda x: let(F.split(F.substring(x, 2, 2**30), "\u0002", -1), lambda p: body(groups(p)))
+    return let(whole, lambda x: F.when(x.startswith("\u0001"), parts(x)))
 
 
 def parse_nginx(df: DataFrame) -> DataFrame:
     """Access lines, else error lines."""
-    t = F.col("_tl_t")
-    access = t.rlike(NGINX_ACCESS)
-    a = lambda i: F.when(access, _group(t, NGINX_ACCESS, i))
-    e = lambda i: F.when(~access, _group(t, NGINX_ERROR, i))
-    status = a(4).cast("int")
-    return _records(
-        df,
-        access | t.rlike(NGINX_ERROR),
-        ts=F.when(access, clf_time(a(2))).otherwise(F.try_to_timestamp(e(1), F.lit("yyyy/MM/dd HH:mm:ss"))),
-        severity=F.when(access, sev.http_severity(status)).otherwise(sev.nginx_severity(e(2))),
-        message=F.when(access, F.concat(status.cast("string"), F.lit(" "), a(3))).otherwise(e(5)),
-        extra=_extra({
-            "client_ip": a(1), "status": status.cast("string"), "response_size": a(5), "response_time": a(6),
-            "pid": e(3), "tid": e(4), "level": e(2),
-        }),
-    )
+
+    def access(t: Column, g: Callable[[int], Column]) -> Column:
+        status = g(4).cast("int")
+        extra = {"client_ip": g(1), "status": status.cast("string"), "response_size": g(5), "response_time": g(6)}
+        return _record(t, ts=clf_time(g(2)), severity=sev.http_severity(status), message=F.concat(status.cast("string"), F.lit(" "), g(3)), extra=_extra(extra))
+
+    def error(t: Column, g: Callable[[int], Column]) -> Column:
+        at = F.try_to_timestamp(g(1), F.lit("yyyy/MM/dd HH:mm:ss"))
+        return _record(t, ts=at, severity=sev.nginx_severity(g(2)), message=g(5), extra=_extra({"pid": g(3), "tid": g(4), "level": g(2)}))
+
+    return _records(df, lambda t: F.coalesce(_match(t, NGINX_ACCESS, 6, lambda g: access(t, g)), _match(t, NGINX_ERROR, 5, lambda g: error(t, g))))
 
 
 def parse_syslog(df: DataFrame, year: int) -> DataFrame:
     """RFC 5424, else RFC 3164, whose times get the given year."""
-    t = F.col("_tl_t")
-    new = t.rlike(SYSLOG_5424)
-    n = lambda i: F.when(new, _group(t, SYSLOG_5424, i))
-    o = lambda i: F.when(~new, _group(t, SYSLOG_3164, i))
-    priority = F.coalesce(n(1), o(1)).try_cast("bigint")
-    tag = o(4)
-    bracketed = tag.contains("[") & tag.contains("]")
-    old_time = F.try_to_timestamp(F.concat(F.regexp_replace(o(2), r"\s+", " "), F.lit(f" {year}")), F.lit("MMM d HH:mm:ss yyyy"))
-    return _records(
-        df,
-        new | t.rlike(SYSLOG_3164),
-        ts=F.when(new, tm.rfc3339(n(3))).otherwise(old_time),
-        severity=sev.syslog_severity(priority),
-        message=F.when(new, n(9)).otherwise(o(5)),
-        extra=_extra({
-            "priority": F.coalesce(F.when(priority <= 255, priority), F.lit(0)).cast("string"),
-            "hostname": F.when(new, _unless_dash(n(4))).otherwise(o(3)),
-            "app_name": F.when(new, _unless_dash(n(5))).otherwise(F.when(bracketed, F.substring_index(tag, "[", 1)).otherwise(tag)),
-            "pid": F.when(new, _unless_dash(n(6))).otherwise(
-                F.when(bracketed, F.substring_index(F.substring_index(F.substring(tag, F.locate("[", tag) + 1, F.length(tag)), "]", 1), "[", -1))
-            ),
-        }),
-    )
+
+    def common(priority: Column, **extra: Column) -> dict[str, Column]:
+        number = F.coalesce(F.when(priority <= 255, priority), F.lit(0))
+        return {"severity": sev.syslog_severity(number), "extra": _extra({"priority": number.cast("string"), **extra})}
+
+    def new(t: Column, g: Callable[[int], Column]) -> Column:
+        parts = common(g(1).try_cast("bigint"), hostname=_unless_dash(g(4)), app_name=_unless_dash(g(5)), pid=_unless_dash(g(6)))
+        return _record(t, ts=tm.rfc3339(g(3)), message=g(9), **parts)
+
+    def old(t: Column, g: Callable[[int], Column]) -> Column:
+        tag = g(4)
+        bracketed = tag.contains("[") & tag.contains("]")
+        pid = F.substring_index(F.substring_index(F.substring(tag, F.locate("[", tag) + 1, F.length(tag)), "]", 1), "[", -1)
+        name = F.when(bracketed, F.substring_index(tag, "[", 1)).otherwise(tag)
+        at = F.try_to_timestamp(F.concat(F.regexp_replace(g(2), r"\s+", " "), F.lit(f" {year}")), F.lit("MMM d HH:mm:ss yyyy"))
+        return _record(t, ts=at, message=g(5), **common(g(1).try_cast("bigint"), hostname=g(3), app_name=name, pid=F.when(bracketed, pid)))
+
+    return _records(df, lambda t: F.coalesce(_match(t, SYSLOG_5424, 9, lambda g: new(t, g)), _match(t, SYSLOG_3164, 5, lambda g: old(t, g))))

@@ -29,12 +29,9 @@ LABELS = {
 
 
 def _lookup(key: Column, table: dict[str, str], other: str) -> Column:
-    """CASE over a table; words with the same label share a branch."""
-    out = None
-    for label in dict.fromkeys(table.values()):
-        words = [w for w, x in table.items() if x == label]
-        out = F.when(key.isin(words), label) if out is None else out.when(key.isin(words), label)
-    return out.otherwise(other)
+    """A table as a constant map, so that ``key`` is evaluated once."""
+    made = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.coalesce(F.try_element_at(made, key), F.lit(other))
 
 
 def json_severity(level: Column) -> Column:

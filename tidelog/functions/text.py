@@ -25,9 +25,13 @@ PLACEHOLDER = "<DYNAMIC>"
 PATTERN = "|".join(PATTERN_BRANCHES)
 
 
+#: The characters of Unicode white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_unicode(c: Column) -> Column:
     """Strip Unicode white space at both ends (the trim of all record parsers)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def message_pattern(message: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import severity as sev
 from tidelog.functions.text import group_id, message_pattern
 from tidelog.operators.chunks import number_within
+from tidelog.session import cut
 
 #: Severities that are grouped (F1), and what the severity option widens or narrows them to.
 GROUPED = ("Error", "Warning")
@@ -73,7 +74,7 @@ def with_examples(groups: DataFrame, entries: DataFrame) -> DataFrame:
 
 def occurrences(entries: DataFrame) -> DataFrame:
     """Every grouped entry with its number within its group."""
-    return number_within(with_pattern(entries), "group_id", "entry_no", "occurrence")
+    return number_within(cut(with_pattern(entries)), "group_id", "entry_no", "occurrence")
 
 
 def top_examples(entries: DataFrame, most: int = 3) -> DataFrame:

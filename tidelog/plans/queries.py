@@ -26,7 +26,7 @@ from tidelog.operators.detect import confidence_of, detect_from_samples, format_
 from tidelog.operators.enrich import MockProvider, enrich
 from tidelog.operators.stitch import stitch
 from tidelog.plans.pipeline import parse_lines
-from tidelog.session import prepare, shared_dir, table
+from tidelog.session import prepare, shared_dir, spread, table
 from tidelog.streaming.watch import pattern_counts
 
 AS_OF = "2024-06-01 00:00:00"
@@ -109,7 +109,7 @@ def line_sql(template: str, dialect: str) -> str:
 def lines(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     """events with ``line`` by a template."""
     prepare(spark)
-    return table(spark, sf_dir, "events").withColumn("line", F.expr(line_sql(template, "spark")))
+    return spread(table(spark, sf_dir, "events")).withColumn("line", F.expr(line_sql(template, "spark")))
 
 
 def duck_lines(template: str) -> str:

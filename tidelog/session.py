@@ -72,6 +72,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the session has cores.
+
+    A table in fewer splits than cores (one small file, say) would leave cores idle in front of costly expressions;
+    tables of any size worth mentioning have more splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 50_000
 
