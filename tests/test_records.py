@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidelog.formats import records
-from tidelog.formats.registry import FORMATS
+from tidelog.formats.registry import parse
 from tidelog.operators.detect import detect_from_samples, detect_sources, format_of
 from tidelog.plans.pipeline import investigate, parse_lines
 
@@ -21,7 +21,7 @@ def frame(spark, lines, source="s"):
 
 
 def parsed(spark, name, lines):
-    return FORMATS[name].parse(frame(spark, lines), 2024).orderBy("line_no").collect()
+    return parse(frame(spark, lines), name, 2024).orderBy("line_no").collect()
 
 
 def test_d1_formats(spark):

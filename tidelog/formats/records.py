@@ -85,7 +85,7 @@ def _record(t: Column, **fields: Column) -> Column:
     return F.struct(*(fields.get(c, defaults.get(c, none)).alias(c) for c in COLUMNS))
 
 
-def _records(df: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
+def parse_with(df: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
     """The records that ``build`` makes of the trimmed lines, without those of which it makes null."""
     kept = [c for c in df.columns if c not in COLUMNS and c != "line"]
     record = let(trim_unicode(F.col("line")), lambda t: F.when(t != "", build(t)))
@@ -104,14 +104,14 @@ def _match(t: Column, pattern: str, groups: int, body: Callable[[Callable[[int],
     return let(whole, lambda x: F.when(x.startswith("\u0001"), parts(x)))
 
 
-def parse_plain(df: DataFrame) -> DataFrame:
+def plain_record(t: Column) -> Column:
     """The whole line is the message; the first timestamp-like text must carry a zone."""
+    stamp = F.regexp_replace(F.regexp_extract(t, PLAIN_TIME, 1), r"^(\S{10})\s", "$1T")
+    return _record(t, ts=let(stamp, tm.rfc3339), severity=sev.plain_severity(t))
 
-    def build(t: Column) -> Column:
-        stamp = F.regexp_replace(F.regexp_extract(t, PLAIN_TIME, 1), r"^(\S{10})\s", "$1T")
-        return _record(t, ts=let(stamp, tm.rfc3339), severity=sev.plain_severity(t))
 
-    return _records(df, build)
+def parse_plain(df: DataFrame) -> DataFrame:
+    return parse_with(df, plain_record)
 
 
 def _json_fields(t: Column, fields: Column) -> Column:
@@ -146,14 +146,14 @@ def _json_fields(t: Column, fields: Column) -> Column:
     )
 
 
-def parse_json(df: DataFrame) -> DataFrame:
+def json_record(t: Column) -> Column:
     """P1-P3."""
+    fields = lambda v: let(F.try_variant_get(v, "$[0]", "map<string,variant>"), lambda m: _json_fields(t, m))
+    return let(_wrapped(t), lambda v: F.when(_is_one(t, v), fields(v)))
 
-    def build(t: Column) -> Column:
-        fields = lambda v: let(F.try_variant_get(v, "$[0]", "map<string,variant>"), lambda m: _json_fields(t, m))
-        return let(_wrapped(t), lambda v: F.when(_is_one(t, v), fields(v)))
 
-    return _records(df, build)
+def parse_json(df: DataFrame) -> DataFrame:
+    return parse_with(df, json_record)
 
 
 def clf_time(text: Column) -> Column:
@@ -161,34 +161,25 @@ def clf_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
 
 
-def parse_apache(df: DataFrame) -> DataFrame:
-    """The combined layout, else the common one."""
-
-    def build(t: Column) -> Column:
-        def fields(g: Callable[[int], Column]) -> Column:
-            status = g(5).cast("int")
-            extra = {
-                "client_ip": g(1), "user": _unless_dash(g(2)), "status": status.cast("string"), "response_size": _unless_dash(g(6)),
-                "referrer": F.when(g(7) == "1", _unless_dash(g(8))), "user_agent": F.when(g(7) == "1", _unless_dash(g(9))),
-            }
-            return _record(t, ts=clf_time(g(3)), severity=sev.http_severity(status), message=F.concat(status.cast("string"), F.lit(" "), g(4)), extra=_extra(extra))
+def apache_record(t: Column) -> Column:
+    """The combined layout, else the common one, in one pattern whose seventh group tells them apart."""
 
-        return _match_apache(t, fields)
+    def fields(g: Callable[[int], Column]) -> Column:
+        status, combined = g(5).cast("int"), g(7) == " "
+        extra = {
+            "client_ip": g(1), "user": _unless_dash(g(2)), "status": status.cast("string"), "response_size": _unless_dash(g(6)),
+            "referrer": F.when(combined, _unless_dash(g(8))), "user_agent": F.when(combined, _unless_dash(g(9))),
+        }
+        return _record(t, ts=clf_time(g(3)), severity=sev.http_severity(status), message=F.concat(status.cast("string"), F.lit(" "), g(4)), extra=_extra(extra))
 
-    return _records(df, build)
+    return _match(t, APACHE_COMMON + r'(?:( )"([^"]*)" "([^"]*)")?', 9, fields)
 
 
-def _match_apache(t: Column, body: Callable[[Callable[[int], Column]], Column]) -> Column:
-    """Groups 1 to 6 of the common layout; 7 is 1 for the combined one, whose last two are 8 and 9."""
-    listed = "\u0001" + "\u0002".join(f"${i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9))
-    pattern = APACHE_COMMON + r'(?:( )"([^"]*)" "([^"]*)")?(?s:.*)\z'
-    whole = F.regexp_replace(t, pattern, listed)
-    groups = lambda p: lambda i: F.when(F.get(p, F.lit(6)) == " ", "1") if i == 7 else F.get(p, F.lit(i - 1))
-    parts = lambda x: let(F.split(F.substring(x, 2, 2**30), "\u0002", -1), lambda p: body(groups(p)))
-    return let(whole, lambda x: F.when(x.startswith("\u0001"), parts(x)))
+def parse_apache(df: DataFrame) -> DataFrame:
+    return parse_with(df, apache_record)
 
 
-def parse_nginx(df: DataFrame) -> DataFrame:
+def nginx_record(t: Column) -> Column:
     """Access lines, else error lines."""
 
     def access(t: Column, g: Callable[[int], Column]) -> Column:
@@ -200,10 +191,14 @@ def parse_nginx(df: DataFrame) -> DataFrame:
         at = F.try_to_timestamp(g(1), F.lit("yyyy/MM/dd HH:mm:ss"))
         return _record(t, ts=at, severity=sev.nginx_severity(g(2)), message=g(5), extra=_extra({"pid": g(3), "tid": g(4), "level": g(2)}))
 
-    return _records(df, lambda t: F.coalesce(_match(t, NGINX_ACCESS, 6, lambda g: access(t, g)), _match(t, NGINX_ERROR, 5, lambda g: error(t, g))))
+    return F.coalesce(_match(t, NGINX_ACCESS, 6, lambda g: access(t, g)), _match(t, NGINX_ERROR, 5, lambda g: error(t, g)))
 
 
-def parse_syslog(df: DataFrame, year: int) -> DataFrame:
+def parse_nginx(df: DataFrame) -> DataFrame:
+    return parse_with(df, nginx_record)
+
+
+def syslog_record(t: Column, year: int) -> Column:
     """RFC 5424, else RFC 3164, whose times get the given year."""
 
     def common(priority: Column, **extra: Column) -> dict[str, Column]:
@@ -222,4 +217,8 @@ def parse_syslog(df: DataFrame, year: int) -> DataFrame:
         at = F.try_to_timestamp(F.concat(F.regexp_replace(g(2), r"\s+", " "), F.lit(f" {year}")), F.lit("MMM d HH:mm:ss yyyy"))
         return _record(t, ts=at, message=g(5), **common(g(1).try_cast("bigint"), hostname=g(3), app_name=name, pid=F.when(bracketed, pid)))
 
-    return _records(df, lambda t: F.coalesce(_match(t, SYSLOG_5424, 9, lambda g: new(t, g)), _match(t, SYSLOG_3164, 5, lambda g: old(t, g))))
+    return F.coalesce(_match(t, SYSLOG_5424, 9, lambda g: new(t, g)), _match(t, SYSLOG_3164, 5, lambda g: old(t, g)))
+
+
+def parse_syslog(df: DataFrame, year: int) -> DataFrame:
+    return parse_with(df, lambda t: syslog_record(t, year))

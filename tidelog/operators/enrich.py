@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.responses import ANALYSIS_TYPE, JsonText, jittered, retry_worthy
 
+# Fixed value: the explanation where no provider is chosen.
 NOT_ENABLED = "AI analysis not enabled. Use --ai flag to enable."
 LEAST_CONCURRENCY, MOST_CONCURRENCY, CONCURRENCY = 1, 100, 5
 

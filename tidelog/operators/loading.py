@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.schema import SEVERITIES
+from tidelog.session import small_side
 
 FIELDS = ("ts", "severity", "component", "file", "line", "thread", "duration_ms", "message")
 #: What a file without known delimiter is read with.
@@ -146,7 +147,7 @@ def load_rows(rows: DataFrame, stats: DataFrame) -> DataFrame:
     optional fields become null.  Repeated rows stay.  Durations beyond 29 digits stay good, their value null.
     """
     df = rows.select(*(F.col(c).cast("bigint") for c in ("row_id", "file_id", "row_no")), "raw")
-    df = df.join(delimiters(stats), "file_id", "left")
+    df = df.join(small_side(delimiters(stats)), "file_id", "left")
     df = df.select("row_id", "file_id", "row_no", "raw", F.coalesce("delimiter", F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
     return df.mapInArrow(_load, LOADED)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.formats.registry import FORMATS
+from tidelog.formats.registry import FORMATS, parse_by_format
 from tidelog.operators.detect import detect_sources
 from tidelog.operators.grouping import group_entries, ranked
 from tidelog.operators.stitch import stitch
@@ -19,19 +19,25 @@ def parse_lines(lines: DataFrame, fmt: str = "auto", multiline: bool = True, yea
     several lines go through the stitcher.  ``entry_no`` is the number of an entry's first line.
     """
     if fmt in FORMATS:
+        detected = None
         with_format = lines.select("source", "line_no", "line", F.lit(fmt).alias("format"))
     else:
-        with_format = lines.join(small_side(cut(detect_sources(lines))), "source").select("source", "line_no", "line", "format")
+        detected = small_side(cut(detect_sources(lines)))
+        with_format = lines.join(detected, "source").select("source", "line_no", "line", "format")
+    names = [fmt] if fmt in FORMATS else list(FORMATS)
+    whole = [n for n in names if multiline and FORMATS[n].multiline]
+    single = [n for n in names if n not in whole]
     parts = []
-    for name in [fmt] if fmt in FORMATS else FORMATS:
-        own = with_format.where(F.col("format") == name).drop("format")
-        if multiline and FORMATS[name].multiline:
-            own = stitch(own).drop("n_lines")
-        parts.append(FORMATS[name].parse(own, year).withColumn("format", F.lit(name)).withColumnRenamed("line_no", "entry_no"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if single:
+        parts.append(parse_by_format(with_format.where(F.col("format").isin(single)), single, year))
+    if whole:
+        # a source has one format, hence its lines are stitched together whatever the format is
+        own = with_format.where(F.col("format").isin(whole))
+        stitched = stitch(own).drop("n_lines")
+        stitched = stitched.withColumn("format", F.lit(fmt)) if detected is None else stitched.join(detected, "source")
+        parts.append(parse_by_format(stitched, whole, year))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.withColumnRenamed("line_no", "entry_no")
 
 
 def investigate(lines: DataFrame, as_of: str, fmt: str = "auto", multiline: bool = True, level: str | None = None, limit: int = 0, year: int = 1970) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.formats.registry import FORMATS
+from tidelog.formats.registry import parse
 from tidelog.functions.text import message_pattern
 from tidelog.operators.grouping import wanted
 from tidelog.operators.stitch import stitch
@@ -22,13 +22,13 @@ def watch_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 def pattern_counts(lines: DataFrame, fmt: str = "plain", year: int = 1970) -> DataFrame:
     """Running counts by pattern, line by line; write with output mode complete or update."""
-    entries = FORMATS[fmt].parse(lines, year).where(wanted(F.col("severity")))
+    entries = parse(lines, fmt, year).where(wanted(F.col("severity")))
     return entries.groupBy(message_pattern(F.col("message")).alias("pattern"), "severity").agg(F.count("*").alias("cnt"))
 
 
 def windowed_counts(lines: DataFrame, window: str = "10 minutes", late: str = "1 hour", fmt: str = "plain", year: int = 1970) -> DataFrame:
     """Counts by time window and pattern; entries later than ``late`` behind the watermark are left out."""
-    entries = FORMATS[fmt].parse(lines, year).where(wanted(F.col("severity")) & F.col("ts").isNotNull()).withWatermark("ts", late)
+    entries = parse(lines, fmt, year).where(wanted(F.col("severity")) & F.col("ts").isNotNull()).withWatermark("ts", late)
     grouped = entries.groupBy(F.window("ts", window).alias("w"), message_pattern(F.col("message")).alias("pattern"))
     return grouped.agg(F.count("*").alias("cnt")).select(F.col("w.start").alias("window_start"), "pattern", "cnt")
 
