@@ -82,6 +82,7 @@ def test_depths_reach_the_target():
         d = nd.depth_for(s)
         assert d == 0 or 1 - (1 - s**d) ** nd.TREES >= nd.TARGET_RECALL
     assert nd.depth_for(0.05) == 0 and nd.depth_for(1.0) == nd.DEEPEST
+    assert 0.5 < nd.partner_share(0.7) < 0.56 and nd.partner_share(0.9) < 1
     deeper, levels = nd.filed_levels({0: 5, 2: 100, 3: 1})
     assert not deeper and list(levels[3]) == [2, 3] and list(levels[2]) == [2]
     assert 1 - (1 - 0.7**nd.DEPTH_ALL) ** nd.TREES >= nd.TARGET_RECALL

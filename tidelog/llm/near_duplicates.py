@@ -30,8 +30,6 @@ BLOCK = 512
 #: Share of the texts from which a word is frequent, and the most frequent words there can be.
 FREQUENT, MOST_FREQUENT = 0.01, 100_000
 SKETCH = 64
-#: A partner of a text with too few rare words has at most this share of them itself (at a threshold of 0.7).
-PARTNER_SHARE = 0.54
 _LEAST_RARE, _LEAST_ALL = 4, 24  # equal sketch places that a candidate needs, in either forest
 
 
@@ -95,6 +93,17 @@ def depth_for(similarity: float, deepest: int = DEEPEST) -> int:
     return 0
 
 
+def partner_share(threshold: float) -> float:
+    """The greatest share of rare words that a partner of a text without a depth can have.
+
+    The text has at most the share ``s`` of rare words.  A partner that lacks l of its words and has e others
+    has at most (s + e) / (1 - l + e) of them, greatest at one of the ends of what the threshold allows.
+    """
+    s = max(x for x in range(101) if not depth_for(guaranteed(x, 100, threshold))) / 100 + 0.01
+    most = 1 / threshold - 1
+    return max(s / threshold, (s + most) / (1 + most))
+
+
 def _own_depths(frequent: frozenset[int], threshold: float):
     """The number of texts of each depth."""
 
@@ -120,7 +129,7 @@ def _emit(frequent: frozenset[int], threshold: float, levels: dict[int, range],
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.array(sorted(frequent), np.int64)
+        common, limit = np.array(sorted(frequent), np.int64), partner_share(threshold)
         trees = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             buckets, kinds, ids, marks, sketches = [], [], [], [], []
@@ -129,7 +138,7 @@ def _emit(frequent: frozenset[int], threshold: float, levels: dict[int, range],
                 rare = words[~np.isin(words, common)] if len(common) else words
                 own = depth_for(guaranteed(len(rare), len(words), threshold))
                 files = [(rare, level, own * 100 + level) for level in levels.get(own, ())]
-                if not own or (any_short and len(rare) <= PARTNER_SHARE * len(words)):
+                if not own or (any_short and len(rare) <= limit * len(words)):
                     files.append((words, DEPTH_ALL, -1 if own else 0))
                 signed: dict[int, np.ndarray] = {}
                 for chosen, level, mark in files:
