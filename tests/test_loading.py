@@ -1,11 +1,12 @@
 """Problem 6: reasons in order, typed values, unknown delimiters, edge cases."""
 
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators.loading import _unquoted_quote, bad_rows, file_counts, load_row, load_rows
+from tidelog.operators.loading import assemble_rows, _unquoted_quote, bad_rows, file_counts, load_row, load_rows
 
 OK = "2025-01-27T14:52:07+01:00;Error;Job;a.py;12;p;0.5;text"
 
@@ -63,3 +64,31 @@ def test_typed_fields_and_counts(spark):
     got = {x.file_id: (x.n_rows, x.n_bad, x.parse_errors) for x in file_counts(df, stats).collect()}
     assert got == {1: (4, 2, 1), 2: (1, 0, None), None: (1, 1, None)}
     assert load_rows(df.where("false"), stats).count() == 0
+
+
+def test_rows_are_assembled_over_many_chunks(spark):
+    rng = random.Random(6)
+    pool = ["a;b", 'a;"b', 'c";d', '"x ""y"" z"', "", '"']
+    rows = [(f, n, rng.choice(pool)) for f, size in ((1, 2000), (2, 7), (3, 1)) for n in range(size)]
+    want = set()
+    for f in (1, 2, 3):
+        row, quotes = None, 0
+        for _, n, x in [r for r in rows if r[0] == f]:
+            if quotes % 2:
+                row[1].append(x)
+            else:
+                if row:
+                    want.add((f, row[0], "\n".join(row[1])))
+                row = (n, [x])
+            quotes += x.count('"')
+        want.add((f, row[0], "\n".join(row[1])))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows + [(None, 1, "x")], "file_id bigint, line_no bigint, line string").repartition(5)
+        got = [tuple(r) for r in assemble_rows(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(want) and set(got) == want
+    assert assemble_rows(df.where("false")).count() == 0

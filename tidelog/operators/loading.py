@@ -14,11 +14,12 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.chunks import by_ranges
 from tidelog.schema import SEVERITIES
-from tidelog.session import small_side
+from tidelog.session import cut, small_side
 
 FIELDS = ("ts", "severity", "component", "file", "line", "thread", "duration_ms", "message")
 #: What a file without known delimiter is read with.
@@ -132,6 +133,37 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, schema=_LOADED_ARROW)
 
 
+def assemble_rows(lines: DataFrame) -> DataFrame:
+    """(file_id, row_no, raw): whole rows of physical lines; a row goes on while a quote is open.
+
+    ``lines``: file_id, line_no, line; other columns are ignored.  Whether a quote is open is one bit, the parity of
+    the quotes before, so a file of any size spreads over chunks and only their sums are carried on.  ``row_no`` is the
+    number of a row's first line.  A quote that is never closed takes the rest of its file.  Lines without file or number
+    have no place and are left out; null lines count as empty.
+    """
+    placed = lines.where("file_id IS NOT NULL AND line_no IS NOT NULL").select("file_id", "line_no", F.coalesce("line", F.lit("")).alias("line"))
+    ranged = cut(
+        by_ranges(placed, "file_id", "line_no", "line").select(
+            "*", F.monotonically_increasing_id().alias("at"), F.regexp_count("line", F.lit('"')).alias("quotes")
+        )
+    )
+    chunks = Window.partitionBy("file_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("file_id", "chunk").orderBy("at")
+    sums = ranged.groupBy("file_id", "chunk").agg(F.sum("quotes").alias("q"))
+    sums = sums.select("file_id", "chunk", F.coalesce(F.sum("q").over(chunks), F.lit(0)).alias("before"))
+    earlier = F.coalesce(F.sum("quotes").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = ranged.withColumn("earlier", earlier).join(sums, ["file_id", "chunk"])
+    df = cut(df.select("file_id", "chunk", "at", "line_no", "line", ((F.col("before") + F.col("earlier")) % 2 == 0).alias("head")))
+    heads = df.groupBy("file_id", "chunk").agg(F.max(F.when(F.col("head"), F.col("at"))).alias("last"))
+    heads = heads.select("file_id", "chunk", F.max("last").over(chunks).alias("carried"))
+    own = F.max(F.when(F.col("head"), F.col("at"))).over(local.rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("own", own).join(heads, ["file_id", "chunk"]).withColumn("row", F.coalesce("own", "carried"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "line_no", "line")))
+    return df.groupBy("file_id", "row").agg(parts.alias("parts")).select(
+        "file_id", F.col("parts")[0]["line_no"].alias("row_no"), F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("raw")
+    )
+
+
 def delimiters(stats: DataFrame) -> DataFrame:
     """(file_id, delimiter) of the files of rows, once each: the least one-character delimiter that stands there."""
     ok = (F.col("kind") == "rows") & (F.length("delimiter") == 1) & ~F.col("delimiter").isin('"', "\n", "\r")
