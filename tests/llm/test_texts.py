@@ -111,6 +111,28 @@ def test_held_out_accuracy(spark):
     assert rd.reading_bands(documents.where("false"), judged).count() == 0
 
 
+def test_graded_posts_are_read_to_their_end(spark):
+    rng = random.Random(6)
+    plain = " ".join(["It was as it was on that day."] * 60)
+    docs = [(i, plain + " " + post(rng, 1 + i % 3, 60), "en") for i in range(90)] + [(i, post(rng, 1 + i % 3), "en") for i in range(90, 180)]
+    documents = spark.createDataFrame(docs, DOCS)
+    judged = spark.createDataFrame([(i, 1, 1 + i % 3) for i in range(90)], "doc_id bigint, rater int, band int")
+    graded = rd.graded_texts(documents, judged)
+    posts = rd.graded_posts(graded)
+    assert [p.n for p in posts] == [120] * 90
+    xs = rd.post_features(docs[7][1])[1]
+    assert abs(posts[7].sums - sum(x.astype(float) for x in xs)).max() < 1e-6
+    assert len(rd.drawn_sentences(graded, 1.0).x) == 90 * 120
+    got = {r.doc_id: r.band for r in rd.reading_bands(documents, judged).collect()}
+    assert sum(got[i] == 1 + i % 3 for i in range(90, 180)) > 85
+
+
+def test_sentences_are_drawn_from_whole_posts():
+    assert len(rd.chosen(5, 1000, 1.0)) == 1000
+    drawn = [k for i in range(-50, 50) for k in rd.chosen(i, 1000, 0.1)]
+    assert 9_000 < len(drawn) < 11_000 and all(800 < sum(k // 100 == part for k in drawn) < 1200 for part in range(10))
+
+
 @pytest.mark.parametrize(
     "text, own",
     [

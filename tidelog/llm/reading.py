@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -20,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import small_side
+from tidelog.session import cut, small_side
 
-#: Bounds of what the ranker is trained on: graded posts (by a hash of their id), pairs, and their sentences.
+#: Bounds of what the ranker is trained on: graded posts (by a hash of their id), pairs, and their sentences (all, or
+#: about so many drawn by hash from whole posts); all that reaches the driver is below 40 MB.
 MOST_GRADED, MOST_PAIRS = 1_500, 15_000
-#: Sentences of a graded post that are learnt from; all that reaches the driver is below 70 MB.
-MOST_OF_POST = 40
 MOST_SENTENCES = 25_000
 VOCABULARY_BUCKETS = 256
 LEAST_WORDS = 40
@@ -221,30 +221,46 @@ def _rank(z: np.ndarray, grades: np.ndarray, rounds: int, rng: np.random.Generat
     return w
 
 
-def fit(posts: list[tuple[list[np.ndarray], list[tuple[int, bool]], float]], rounds: int = 200, seed: int = 7) -> Ranker:
-    """A ranker of graded posts (features and sizes by sentence, grade).
+class Graded(NamedTuple):
+    """A graded post: its sentences' number, and the sums of their features and of the features' squares."""
+
+    grade: float
+    n: int
+    sums: np.ndarray
+    squares: np.ndarray
+
+
+class Drawn(NamedTuple):
+    """Sentences that are learnt from: features, (words, whole), and the grades of their posts."""
+
+    x: np.ndarray
+    sizes: list[tuple[int, bool]]
+    grades: np.ndarray
+
+
+def fit(posts: list[Graded], drawn: Drawn, rounds: int = 200, seed: int = 7) -> Ranker:
+    """A ranker of graded posts and of sentences of theirs.
 
     Pairs of whole posts give a first score, which tells for each sentence whether it speaks for its post's grade;
     pairs of the sentences then give the score that is used.
     """
     rng = np.random.default_rng(seed)
-    x = np.concatenate([np.array(xs) for xs, _, _ in posts])
-    of = np.repeat(np.arange(len(posts)), [len(xs) for xs, _, _ in posts])
-    grades = np.array([g for _, _, g in posts])
-    means = np.array([np.mean(xs, axis=0) for xs, _, _ in posts])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
+    x, grades = drawn.x, np.array([p.grade for p in posts])
+    total = sum(p.n for p in posts)
+    means = np.array([p.sums / p.n for p in posts], np.float32)
+    mean = sum(p.sums for p in posts) / total
+    scale = np.sqrt(np.maximum(sum(p.squares for p in posts) / total - mean**2, 0.0)).astype(np.float32) + np.float32(0.02)
+    mean = mean.astype(np.float32)
     first = Ranker(mean, scale, _rank((means - mean) / scale, grades, rounds, rng), (0.0, 0.0), (8.0, 16.0, 20.0))
     scores, fitted = isotonic(first.score(means), grades)
     cuts = (_cut(scores, fitted, 1.5), _cut(scores, fitted, 2.5))
-    near = np.abs(np.searchsorted(cuts, first.score(x)) + 1 - grades[of]) <= 1  # a sentence two bands off is a guest
-    if near.sum() > MOST_SENTENCES:
-        near &= rng.random(len(near)) < MOST_SENTENCES / near.sum()
-    ranker = Ranker(mean, scale, _rank((x[near] - mean) / scale, grades[of][near], rounds, rng), cuts, first.lengths)
-    scores, fitted = isotonic(ranker.score(x[near]), grades[of][near])
+    near = np.abs(np.searchsorted(cuts, first.score(x)) + 1 - drawn.grades) <= 1  # a sentence two bands off is a guest
+    ranker = Ranker(mean, scale, _rank((x[near] - mean) / scale, drawn.grades[near], rounds, rng), cuts, first.lengths)
+    scores, fitted = isotonic(ranker.score(x[near]), drawn.grades[near])
     ranker.cuts = (_cut(scores, fitted, 1.5), _cut(scores, fitted, 2.5))
     totals = [[0.0, 0.0] for _ in BANDS]
     bands = np.searchsorted(ranker.cuts, ranker.score(x))
-    for k, (n, whole) in zip(bands, (s for _, sizes, _ in posts for s in sizes)):
+    for k, (n, whole) in zip(bands, drawn.sizes):
         if whole:
             totals[k][0] += n
             totals[k][1] += 1
@@ -252,30 +268,77 @@ def fit(posts: list[tuple[list[np.ndarray], list[tuple[int, bool]], float]], rou
     return ranker
 
 
-def graded_posts(documents: DataFrame, labels: DataFrame) -> list:
-    """Features of the graded posts with the median of their grades; at most MOST_GRADED, by a hash of the id."""
+def graded_texts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, grade): graded posts with the median of their grades; at most MOST_GRADED, by a hash of the id."""
     median = labels.where("band BETWEEN 1 AND 3").groupBy("doc_id").agg(F.percentile("band", 0.5).alias("grade"))
     bounded = median.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_GRADED)
-    texts = documents.where("text IS NOT NULL").select("doc_id", "text")
-    graded = texts.join(small_side(bounded), "doc_id").dropDuplicates(["doc_id"])
-    rows = graded.select("text", "grade").mapInArrow(_reduce, "grade DOUBLE, x BINARY, sizes ARRAY<INT>")
-    posts = []
-    for grade, x, sizes in rows.toLocalIterator():
-        posts.append((list(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES)), [(abs(s), s > 0) for s in sizes], grade))
-    return posts
+    texts = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return cut(texts.join(small_side(bounded), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "grade"))
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def graded_posts(graded: DataFrame) -> list[Graded]:
+    """The graded posts of enough words, by id, each reduced over all of its sentences."""
+    rows = graded.mapInArrow(_reduce, "doc_id BIGINT, grade DOUBLE, n BIGINT, sums BINARY, squares BINARY")
+    return [Graded(grade, n, np.frombuffer(sums), np.frombuffer(squares)) for _, grade, n, sums, squares in sorted(rows.toLocalIterator())]
+
+
+def drawn_sentences(graded: DataFrame, share: float) -> Drawn:
+    """The share of all sentences of the graded posts, by a hash of post and place; all of them for a share of 1."""
+    rows = sorted(graded.mapInArrow(_draw(share), "doc_id BIGINT, grade DOUBLE, x BINARY, sizes ARRAY<INT>").toLocalIterator())
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, N_FEATURES)
+    sizes = [(abs(s), s > 0) for r in rows for s in r.sizes]
+    return Drawn(x, sizes, np.repeat(np.array([r.grade for r in rows]), [len(r.sizes) for r in rows]))
+
+
+def _graded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, float, list[tuple[list[str], int, bool]]]]]:
+    """By batch, (id, grade, sentences) of the posts of enough words."""
     for b in batches:
+        posts = []
+        for doc_id, text, grade in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "grade"))):
+            found = sentences(own_text(text))
+            if sum(len(words) for words, _, _ in found) >= LEAST_WORDS:
+                posts.append((doc_id, grade, found))
+        yield posts
+
+
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for posts in _graded(batches):
         out = []
-        for text, grade in zip(b["text"].to_pylist(), b["grade"].to_pylist()):
-            n, xs, sizes = post_features(text)
-            if n >= LEAST_WORDS:
-                xs, sizes = xs[:MOST_OF_POST], sizes[:MOST_OF_POST]
-                out.append((grade, np.array(xs, np.float32).tobytes(), [s if whole else -s for s, whole in sizes]))
-        columns = list(zip(*out)) if out else [()] * 3
-        kinds = (pa.float64(), pa.binary(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["grade", "x", "sizes"])
+        for doc_id, grade, found in posts:
+            sums, squares = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+            for words, commas, _ in found:
+                x = features(words, commas)
+                sums += x
+                squares += x * x
+            out.append((doc_id, grade, len(found), sums.tobytes(), squares.tobytes()))
+        yield _batch(out, doc_id=pa.int64(), grade=pa.float64(), n=pa.int64(), sums=pa.binary(), squares=pa.binary())
+
+
+def chosen(doc_id: int, n: int, share: float) -> np.ndarray:
+    """The places of a post's ``n`` sentences that are drawn."""
+    mixed = (np.full(n, doc_id, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.arange(n, dtype=np.uint64)
+    for _ in range(2):
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.flatnonzero((mixed >> np.uint64(11)) < share * 2**53)
+
+
+def _draw(share: float):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for posts in _graded(batches):
+            out = []
+            for doc_id, grade, found in posts:
+                some = [found[k] for k in chosen(doc_id, len(found), share)]
+                x = b"".join(features(words, commas).tobytes() for words, commas, _ in some)
+                out.append((doc_id, grade, x, [len(words) if whole else -len(words) for words, _, whole in some]))
+            yield _batch(out, doc_id=pa.int64(), grade=pa.float64(), x=pa.binary(), sizes=pa.list_(pa.int32()))
+
+    return draw
 
 
 def reading_bands(documents: DataFrame, labels: DataFrame, lang: str = "en") -> DataFrame:
@@ -285,11 +348,12 @@ def reading_bands(documents: DataFrame, labels: DataFrame, lang: str = "en") ->
     Null, empty and shorter texts have no band; without labels of two bands there is nothing to learn from, and the
     result is empty; repeated rows give repeated results.
     """
-    posts = graded_posts(documents, labels)
+    graded = graded_texts(documents, labels)
+    posts = graded_posts(graded)
     schema = "doc_id BIGINT, band INT"
-    if len({g for _, _, g in posts}) < 2:
+    if len({p.grade for p in posts}) < 2:
         return documents.sparkSession.createDataFrame([], schema)
-    ranker = fit(posts)
+    ranker = fit(posts, drawn_sentences(graded, min(1.0, MOST_SENTENCES / sum(p.n for p in posts))))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
