@@ -48,6 +48,30 @@ def test_reasons(raw, want):
     assert reason(raw) == want
 
 
+@pytest.mark.parametrize(
+    "line, duration, want",
+    [
+        ("12", "1" * 20, (None, 12, Decimal("1" * 20))),
+        ("12", "9" * 29, (None, 12, Decimal("9" * 29))),
+        ("12", "9" * 29 + ".1234567891", (None, 12, Decimal("9" * 29 + ".123456789"))),
+        ("12", "9" * 29 + ".9999999999", (None, 12, None)),
+        ("12", "1" * 30, (None, 12, None)),
+        ("12", "1" * 5000, (None, 12, None)),
+        ("12", "0.0000000025", (None, 12, Decimal("0.000000002"))),
+        ("9" * 5000, "0.5", ("invalid_value", None, None)),
+        ("0" * 5000 + "7", "0.5", (None, 7, Decimal("0.5"))),
+        ("0" * 5000, "0.5", (None, 0, Decimal("0.5"))),
+    ],
+)
+def test_long_numbers(spark, line, duration, want):
+    raw = OK.replace(";12;", f";{line};").replace("0.5", duration)
+    row = load_row(raw, ";", _unquoted_quote(";"))
+    assert (row[0], row[5], row[7]) == want
+    df = spark.createDataFrame([(1, 1, 1, raw)], ROWS)
+    out = load_rows(df, spark.createDataFrame([(1, "rows", ";", 0)], STATS)).first()
+    assert (out.reason, out.line, out.duration_ms) == want
+
+
 ROWS = "row_id bigint, file_id bigint, row_no bigint, raw string"
 STATS = "file_id bigint, kind string, delimiter string, parse_errors bigint"
 

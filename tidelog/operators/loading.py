@@ -9,9 +9,9 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
-from decimal import Decimal
+from decimal import Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,6 +25,8 @@ FIELDS = ("ts", "severity", "component", "file", "line", "thread", "duration_ms"
 #: What a file without known delimiter is read with.
 DEFAULT_DELIMITER = ","
 MOST_LINE = 4_294_967_295
+#: Durations have 9 decimals; those from the bound on, after rounding, are beyond the column's range.
+_DECIMALS, _BEYOND, _EXACT = Decimal("1e-9"), Decimal("1e29"), Context(prec=60)
 
 _SEVERITY = {s.lower(): s for s in SEVERITIES}
 _RFC3339 = re.compile(
@@ -68,7 +70,7 @@ def instant(text: str) -> datetime:
         raise Unloadable("invalid_value") from None
 
 
-def _or_none(text: str, rx: re.Pattern, kind: type):
+def _or_none(text: str, rx: re.Pattern, kind: Callable):
     if not text:
         return None
     if not rx.fullmatch(text):
@@ -76,16 +78,29 @@ def _or_none(text: str, rx: re.Pattern, kind: type):
     return kind(text)
 
 
+def _number(text: str) -> int:
+    """A line number of digits; Python turns no text of thousands of digits into an integer."""
+    digits = text.lstrip("0")
+    if len(digits) > len(str(MOST_LINE)) or int(digits or "0") > MOST_LINE:
+        raise Unloadable("invalid_value")
+    return int(digits or "0")
+
+
+def _duration(text: str) -> Decimal | None:
+    """A duration with 9 decimals; null if it is beyond the column's range, yet a plain decimal number."""
+    took = Decimal(text)
+    took = took.quantize(_DECIMALS, context=_EXACT) if took < _BEYOND else took
+    return took if took < _BEYOND else None
+
+
 def typed(fields: list[str]) -> tuple:
     """The eight texts as typed values; raises Unloadable."""
     ts, severity, component, file, line, thread, duration, message = fields
-    at, label, number = instant(ts), _SEVERITY.get(severity.lower()), _or_none(line, _WHOLE, int)
-    took = _or_none(duration, _DECIMAL, Decimal)
-    if label is None or not component or (number or 0) > MOST_LINE:
+    at, label, number = instant(ts), _SEVERITY.get(severity.lower()), _or_none(line, _WHOLE, _number)
+    took = _or_none(duration, _DECIMAL, _duration)
+    if label is None or not component:
         raise Unloadable("invalid_value")
-    if took is not None and took >= Decimal(10) ** 29:
-        took = None  # beyond the column's range, yet a plain decimal number
-    return at, label, component, file or None, number, thread or None, None if took is None else round(took, 9), message
+    return at, label, component, file or None, number, thread or None, took, message
 
 
 def _unquoted_quote(delimiter: str) -> re.Pattern:
