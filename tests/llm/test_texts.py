@@ -3,11 +3,12 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import reading as rd
-from tidelog.llm.packing import best_fit, fill, hilbert_key, packed
+from tidelog.llm.packing import _pack, best_fit, fill, hilbert_key, packed
 from tidelog.llm.tokens import SPLIT, VOCABULARY, RankQueue, encoder, token_ids
 
 needs_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary file")
@@ -83,6 +84,26 @@ def test_packing(spark):
     assert packed(df.where("false"), sizes).count() == 0
 
 
+def test_short_items_fill_their_containers():
+    def containers(sizes, capacity):
+        columns = {"doc_id": range(len(sizes)), "piece_no": [0] * len(sizes), "start_token": [0] * len(sizes), "size": sizes, "chunk": [3] * len(sizes)}
+        table = pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+        out = pa.Table.from_batches(_pack("x", capacity)(iter(table.to_batches(1000)))).to_pylist()
+        assert sorted(r["doc_id"] for r in out) == list(range(len(sizes)))
+        used = {}
+        for r in out:
+            used[r["container"]] = used.get(r["container"], 0) + r["n_tokens"]
+        assert max(used.values()) <= capacity and {k >> 33 for k in used} == {3}
+        return len(used)
+
+    assert containers([1] * 30_000, 8192) == 4
+    assert containers([3] * 30_000, 8192) == 11
+    assert containers([1] * 9_000 + [100] * 100, 1_000_000) == 1
+    rng = random.Random(9)
+    mixed = [rng.choice((1, 2, 700, 1300)) for _ in range(20_000)]
+    assert containers(mixed, 2048) <= len(best_fit([(n, (k,)) for k, n in enumerate(mixed)], 2048)) * 1.01 + 1
+
+
 SENTENCES = {
     1: ["The {a} cat sat on the {a} mat.", "I like my {a} dog a lot.", "We put it in the {a} box and ran.", "He saw a {a} hat."],
     2: ["After I replaced the {a} filter, the window worked for several weeks again.", "My neighbour repaired a similar {a} handle, which only cost about twenty."],

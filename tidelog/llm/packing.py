@@ -8,7 +8,7 @@ within a window that moves along the curve.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from tidelog.session import cut
 DIMENSIONS, BITS = 3, 10
 #: Items of one window, and containers' worth of tokens of one range.
 WINDOW, LEAST_CONTAINERS = 2048, 256
+#: Containers that stay open for the windows to come; their items are written, only their room is kept.
+MOST_OPEN = 256
 #: Items of a range, from which on there are more ranges than the session's shuffle partitions.
 ITEMS_OF_RANGE = 500_000
 #: Most sizes of containers; they are read to the driver.
@@ -87,10 +89,13 @@ def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(measure, "doc_id BIGINT, n_tokens BIGINT, curve BIGINT")
 
 
-def best_fit(items: list[tuple[int, tuple]], capacity: int) -> list[tuple[int, list[tuple]]]:
-    """Containers (free space, items) of items (size, what), longest first into the fullest that has room."""
-    free: list[tuple[int, int]] = []
-    out: list[tuple[int, list[tuple]]] = []
+def best_fit(items: list[tuple[int, tuple]], capacity: int, rooms: Sequence[int] = ()) -> list[tuple[int, list[tuple]]]:
+    """Containers (free space, items) of items (size, what), longest first into the fullest that has room.
+
+    ``rooms``: the free space of containers begun before; they stand first in the result, with their new items.
+    """
+    free = sorted((room, k) for k, room in enumerate(rooms))
+    out: list[tuple[int, list[tuple]]] = [(room, []) for room in rooms]
     for size, what in sorted(items, key=lambda x: (-x[0], x[1])):
         at = bisect_left(free, (size, -1))
         if at < len(free):
@@ -113,14 +118,28 @@ _PACKED_ARROW = pa.schema(
 
 def _pack(size_name: str, capacity: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk, waiting = 0, 0, []
-
-        def rows(containers: list) -> pa.RecordBatch:
-            nonlocal number
-            out = []
-            for _, items in containers:
-                out += [(size_name, chunk << 33 | number, *what) for what in items]
-                number += 1
+        number, chunk, waiting, opened = 0, 0, [], []
+
+        def settle(last: bool) -> pa.RecordBatch:
+            """Pack what waits.  What is nearly full is closed; the rest waits for the neighbours to come.
+
+            A rest of too many items is written, and its containers stay open, as (free space, number).
+            """
+            nonlocal number, waiting, opened
+            done = best_fit(waiting, capacity, [room for room, _ in opened])
+            begun = [(room, n, items) for (room, items), (_, n) in zip(done, opened)]
+            new = done[len(opened) :]
+            rest = [] if last else [c for c in new if c[0] * 100 > capacity]
+            if sum(len(items) for _, items in rest) > WINDOW // 2:
+                rest = []
+            held = {id(c) for c in rest}
+            for c in new:
+                if id(c) not in held:
+                    begun.append((c[0], number, c[1]))
+                    number += 1
+            waiting = [(what[3], what) for _, items in rest for what in items]
+            opened = sorted(((room, n) for room, n, _ in begun if room * 100 > capacity), reverse=True)[:MOST_OPEN]
+            out = [(size_name, chunk << 33 | n, *what) for _, n, items in begun for what in items]
             columns = list(zip(*out)) if out else [()] * len(_PACKED_ARROW)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED_ARROW)], schema=_PACKED_ARROW)
 
@@ -130,14 +149,8 @@ def _pack(size_name: str, capacity: int):
             for doc_id, piece_no, start, n in zip(*(b[c].to_pylist() for c in ("doc_id", "piece_no", "start_token", "size"))):
                 waiting.append((n, (doc_id, piece_no, start, n)))
                 if len(waiting) >= WINDOW:
-                    # what is nearly full is closed; the rest waits for the neighbours to come
-                    done = best_fit(waiting, capacity)
-                    full, rest = [c for c in done if c[0] * 100 <= capacity], [c for c in done if c[0] * 100 > capacity]
-                    if sum(len(items) for _, items in rest) > WINDOW // 2:
-                        full, rest = done, []
-                    waiting = [(what[3], what) for _, items in rest for what in items]
-                    yield rows(full)
-        yield rows(best_fit(waiting, capacity))
+                    yield settle(False)
+        yield settle(True)
 
     return pack
 
