@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidelog.llm.garbled import restored_fields
+from tidelog.llm.garbled import SUSPECT, _suspects, learn_bigrams, learn_weights, restored_fields, source_bucket, uncovered
 
 CLEAN = [
     "Größe des Anhangs überschreitet Höchstmaß", "Échec de la requête : délai dépassé", "Не удалось открыть счёт, повторите позже",
@@ -54,3 +54,19 @@ def test_round_trips(spark):
     assert got == want
     assert [r.restored for r in found if r.field == "raw"] == ["x é à clean é"]
     assert restored_fields(df.where("false")).count() == 0
+
+
+def test_text_that_stands_only_in_raw(spark):
+    shown = CLEAN[2].encode("cp1251").decode("cp1252")
+    rows = [(i, "s", (None, "", "ok")[i % 3], CLEAN[2]) for i in range(60)] + [(100, "s", None, shown), (101, "s", "ok", "x " + wrong("é à", "cp1252"))]
+    df = spark.createDataFrame(rows, "entry_id bigint, source string, message string, raw string")
+    lm = learn_bigrams(df.select("message", "raw"))
+    assert lm.score(CLEAN[2]) > lm.score(shown)
+    weights = learn_weights(df.mapInArrow(_suspects(lm), SUSPECT))
+    assert {s for s, _ in weights} == {source_bucket("s")}
+    assert {(r.entry_id, r.field, r.restored) for r in restored_fields(df).collect()} == {(100, "raw", CLEAN[2]), (101, "raw", "x é à")}
+
+
+def test_raw_counts_only_beyond_the_message():
+    assert [m.group() for m in uncovered("é: ü and é ö", "ü é")] == ["é", "ö"]
+    assert uncovered("[x] Größe", "Größe") == [] == uncovered(None, "é") and len(uncovered("é", None)) == 1

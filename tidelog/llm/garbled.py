@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -268,9 +268,23 @@ def restore(text: str, lm: Bigrams, weights: dict[int, float]) -> tuple[str, boo
     return text, garbled or LOST in text
 
 
-def _clean_pairs(text: str) -> Iterator[tuple[str, str]]:
+def uncovered(raw: str | None, message: str | None) -> list[re.Match]:
+    """The runs of ``raw`` beyond those that ``message`` holds as well."""
+    if not raw or raw.isascii():
+        return []
+    left = Counter(_RUN.findall(message or ""))
+    out = []
+    for m in _RUN.finditer(raw):
+        if left[m.group()] > 0:
+            left[m.group()] -= 1
+        else:
+            out.append(m)
+    return out
+
+
+def _clean_pairs(text: str, runs: Iterable[re.Match]) -> Iterator[tuple[str, str]]:
     """Bigrams of the runs beyond ASCII that no UTF-8 view explains, and of their neighbours."""
-    for m in _RUN.finditer(text):
+    for m in runs:
         run = m.group()
         if LOST in run or any("\x80" <= c <= "\x9f" for c in run) or _is_utf8(run):
             continue
@@ -282,11 +296,12 @@ def _clean_pairs(text: str) -> Iterator[tuple[str, str]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch["message"].to_pylist():
-            for a, b in _clean_pairs(text or ""):
-                counts[_bucket(a, b)] += 1
-                counts[_bucket(a, "")] += 1
-                counts[_bucket("", "")] += 1
+        for message, raw in zip(batch["message"].to_pylist(), batch["raw"].to_pylist()):
+            for text, runs in ((message or "", _RUN.finditer(message or "")), (raw or "", uncovered(raw, message))):
+                for a, b in _clean_pairs(text, runs):
+                    counts[_bucket(a, b)] += 1
+                    counts[_bucket(a, "")] += 1
+                    counts[_bucket("", "")] += 1
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["bucket", "n"])
 
 
@@ -301,29 +316,31 @@ def _suspects(lm: Bigrams):
         for batch in batches:
             out = []
             sources, ids = batch["source"].to_pylist(), batch["entry_id"].to_pylist()
+            messages = batch["message"].to_pylist()
             for field in ("message", "raw"):
-                for source, entry_id, text in zip(sources, ids, batch[field].to_pylist()):
+                for source, entry_id, text, message in zip(sources, ids, batch[field].to_pylist(), messages):
                     if not text or text.isascii():
                         continue
                     found = candidates(text, lm)
                     if found or LOST in text:
                         numbers, gains, letters = zip(*found) if found else ((), (), ())
-                        out.append((entry_id, field, source_bucket(source), text, numbers, gains, letters))
+                        learnt = field == "message" or bool(uncovered(text, message))
+                        out.append((entry_id, field, source_bucket(source), text, numbers, gains, letters, learnt))
             columns = list(zip(*out)) if out else [()] * len(_SUSPECT)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUSPECT)], schema=_SUSPECT)
 
     return find
 
 
-SUSPECT = "entry_id BIGINT, field STRING, s INT, text STRING, ciphers ARRAY<INT>, gains ARRAY<DOUBLE>, letters ARRAY<STRING>"
+SUSPECT = "entry_id BIGINT, field STRING, s INT, text STRING, ciphers ARRAY<INT>, gains ARRAY<DOUBLE>, letters ARRAY<STRING>, learnt BOOLEAN"
 _SUSPECT = pa.schema(
     [("entry_id", pa.int64()), ("field", pa.string()), ("s", pa.int32()), ("text", pa.string()), ("ciphers", pa.list_(pa.int32())),
-     ("gains", pa.list_(pa.float64())), ("letters", pa.list_(pa.string()))]
+     ("gains", pa.list_(pa.float64())), ("letters", pa.list_(pa.string())), ("learnt", pa.bool_())]
 )
 
 
 def learn_bigrams(texts: DataFrame) -> Bigrams:
-    """Bigrams of the clean messages of the whole corpus; bounded by their buckets."""
+    """Bigrams of the clean messages of the whole corpus, and of what raw holds besides them; bounded by their buckets."""
     counted = texts.mapInArrow(_count, "bucket BIGINT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n"))
     return Bigrams({r[0]: r[1] for r in counted.collect()})
 
@@ -353,7 +370,7 @@ def _expect(weights: dict[tuple[int, int], float]):
 def learn_weights(suspects: DataFrame) -> dict[tuple[int, int], float]:
     """Each source's weights of the ciphers; bounded by the source buckets."""
     weights: dict[tuple[int, int], float] = {}
-    seen = suspects.where("field = 'message'").select("s", "ciphers", "gains")
+    seen = suspects.where("learnt").select("s", "ciphers", "gains")
     for _ in range(ROUNDS):
         sums = seen.mapInArrow(_expect(weights), "s INT, cipher INT, x DOUBLE").groupBy("s", "cipher").agg(F.sum("x").alias("x")).collect()
         total: Counter = Counter()
@@ -375,7 +392,7 @@ def restored_fields(entries: DataFrame) -> DataFrame:
     """
     beyond = F.col("message").rlike(r"[^\x00-\x7F]") | F.col("raw").rlike(r"[^\x00-\x7F]")
     texts = cut(entries.where(beyond).select("entry_id", "source", "message", "raw"))
-    lm = learn_bigrams(texts.select("message"))
+    lm = learn_bigrams(texts.select("message", "raw"))
     suspects = cut(texts.mapInArrow(_suspects(lm), SUSPECT))
     weights = learn_weights(suspects)
 
