@@ -1,12 +1,13 @@
 """Every registered query with checking SQL against DuckDB on the smallest tables."""
 
+import json
 import math
 
 import duckdb
 import pytest
 from conftest import TESTDATA
 
-from tidelog.plans import catalog
+from tidelog.plans import catalog, queries
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="no test tables")
 
@@ -34,3 +35,15 @@ def test_query(spark, duck, name):
     places = [[d[0] for d in found.description].index(c) for c in columns]
     want = sorted((tuple(plain(r[i]) for i in places) for r in found.fetchall()), key=repr)
     assert got == want
+
+
+def test_enrichment_is_given_the_examples(spark, monkeypatch):
+    class Echo:
+        name = "echo"
+
+        def analyze(self, prompt):
+            return json.dumps({"explanation": prompt.split("\n\nAnswer with")[0], "root_cause": None, "suggestions": []})
+
+    monkeypatch.setattr(queries, "MockProvider", Echo)
+    got = {r.pattern: r.explanation for r in catalog.QUERIES["enrich_groups"](spark, str(TESTDATA)).collect()}
+    assert got and got == {r.pattern: r.prompt for r in catalog.QUERIES["prompt_build"](spark, str(TESTDATA)).collect()}

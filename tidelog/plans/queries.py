@@ -541,8 +541,8 @@ def enrich_groups(spark, sf_dir):
     """Groups with the analysis of a deterministic provider."""
     df = _entries(spark, sf_dir)
     groups = gr.group_entries(df, AS_OF)
-    made = prompt(F.col("pattern"), F.col("cnt"), F.col("severity"), F.array().cast("array<string>"))
-    calls = enrich(groups.select("group_id", made.alias("prompt")), MockProvider(), concurrency=2)
+    made = prompt(F.col("pattern"), F.col("cnt"), F.col("severity"), F.col("examples"))
+    calls = enrich(groups.join(gr.top_examples(df), "group_id").select("group_id", made.alias("prompt")), MockProvider(), concurrency=2)
     return groups.join(calls, "group_id", "left").select("pattern", "cnt", F.col("analysis.explanation").alias("explanation"), "attempts")
 
 
