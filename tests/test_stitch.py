@@ -54,3 +54,16 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, 1, "x"), ("a", None, "x"), ("a", 1, None), ("a", 2, "ok")], "source string, line_no bigint, line string")
     assert [tuple(r) for r in stitch(df).collect()] == [("a", 2, "ok", 1)]
     assert stitch(df.where("false")).count() == 0
+
+
+def test_one_entry_over_all_chunks(spark):
+    rows = [("hot", n, "ERROR down" if n == 0 else f"  at f{n}") for n in range(500)] + [("z", 0, "INFO up"), ("a", 3, "\tat x")]
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.source, r.line_no): r for r in stitch(spark.createDataFrame(rows, "source string, line_no bigint, line string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert set(got) == {("hot", 0), ("z", 0), ("a", 3)}
+    assert got["hot", 0].n_lines == 500 and got["hot", 0].line == "\n".join(r[2] for r in rows[:500])

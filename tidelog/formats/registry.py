@@ -64,10 +64,10 @@ def register(fmt: RecordFormat) -> None:
 
 def parse(df: DataFrame, name: str, year: int) -> DataFrame:
     """Records of lines of one format."""
-    return records.parse_with(df, lambda t: FORMATS[name].record(t, year))
+    return records.parse_with(df, lambda t: FORMATS[name].record(t, year), key=(FORMATS[name], year))
 
 
-def parse_by_format(df: DataFrame, names: list[str], year: int) -> DataFrame:
+def parse_by_format(df: DataFrame, names: list[str], year: int, columns: tuple[str, ...] = records.COLUMNS) -> DataFrame:
     """Records of lines whose column ``format`` is one of the names, in one pass."""
 
     def build(t: Column) -> Column:
@@ -76,4 +76,4 @@ def parse_by_format(df: DataFrame, names: list[str], year: int) -> DataFrame:
             out = out.when(F.col("format") == n, FORMATS[n].record(t, year))
         return out
 
-    return records.parse_with(df, build)
+    return records.parse_with(df, build, columns, key=(*(FORMATS[n] for n in names), year))

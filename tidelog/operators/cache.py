@@ -10,7 +10,10 @@ SUGGESTIONS = "ARRAY<STRUCT<description: STRING, code_example: STRING, priority:
 
 
 def lookup(groups: DataFrame, cache: DataFrame, provider: str, model: str) -> DataFrame:
-    """Groups with explanation, root_cause and suggestions of the cache, null on a miss; bad JSON has no suggestions."""
+    """Groups with explanation, root_cause and suggestions of the cache, null on a miss; bad JSON has no suggestions.
+
+    A cache has one row a key, as :func:`upsert` leaves it.
+    """
     hit = cache.where((F.col("provider") == provider) & (F.col("model") == model)).select(
         "pattern", "explanation", "root_cause",
         F.coalesce(F.from_json("suggestions", SUGGESTIONS), F.array().cast("array<struct<description:string,code_example:string,priority:smallint>>")).alias("suggestions"),
@@ -25,7 +28,13 @@ def misses(groups: DataFrame, cache: DataFrame, provider: str, model: str) -> Da
 
 
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """The cache with the rows of ``new`` in place of those of the same key; write it to a new folder."""
+    """The cache with the rows of ``new`` in place of those of the same key; write it to a new folder.
+
+    Of several new rows of one key the latest ``created_at`` counts, then the greatest texts.
+    """
+    own = [c for c in new.columns if c not in KEY]
+    order = F.struct(*(F.col(c) for c in sorted(own, key=lambda c: c != "created_at")))
+    new = new.groupBy(*KEY).agg(F.max(order).alias("_tl_row")).select(*(F.col(c) if c in KEY else F.col(f"_tl_row.{c}") for c in new.columns))
     return cache.join(new.select(*KEY), list(KEY), "left_anti").select(*new.columns).unionByName(new)
 
 

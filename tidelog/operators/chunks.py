@@ -15,10 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.session import cut
+from tidelog.session import cut, estimated_bytes
 
 #: Chunks whose edge runs one task merges; the number of levels is the logarithm of the chunks to this base.
 FANOUT = 256
+#: Estimated bytes, then rows, of a range up to which a task sorts it in memory.
+RANGE_BYTES, RANGE_ROWS = 128 << 20, 1_000_000
 #: The key of a row that goes on with whatever run precedes it in its group.
 GOES_ON = -1
 FIRST, LAST = 1, 2  # bits of ``edge``: the run touches the beginning, the end of its chunk
@@ -35,14 +37,25 @@ GRP, KEY, FIRST_NO, LAST_NO, N, T_MIN, T_MAX, TAG = range(8)
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
-def by_ranges(df: DataFrame, group: str, place: str, *ties: str) -> DataFrame:
+def ranges_for(df: DataFrame) -> int | None:
+    """The number of ranges that keeps each one sortable in a task's memory; None for the session's number.
+
+    The plan's own estimate costs nothing; only if it is beyond what the session's number takes are the rows counted.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if estimated_bytes(df) <= usual * RANGE_BYTES:
+        return None
+    needed = -(-df.count() // RANGE_ROWS)
+    return needed if needed > usual else None
+
+
+def by_ranges(df: DataFrame, group: str, place: str | tuple[str, ...], *ties: str) -> DataFrame:
     """``df`` in sorted ranges of (group, place), numbered by the column ``chunk``; ``ties`` order equal places."""
-    order: list[Column] = [F.col(c).asc_nulls_first() for c in (group, place)]
-    return (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order, *ties)
-        .withColumn("chunk", F.spark_partition_id())
-    )
+    places = (place,) if isinstance(place, str) else place
+    order: list[Column] = [F.col(c).asc_nulls_first() for c in (group, *places)]
+    n = ranges_for(df)
+    ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order, *ties).withColumn("chunk", F.spark_partition_id())
 
 
 def goes_on(a: tuple, b: tuple) -> bool:
@@ -163,7 +176,7 @@ def runs_in_order(df: DataFrame, least: int = 1) -> DataFrame:
     return close_edges(df.select("chunk", "grp", "no", "key", "t", "tag").mapInArrow(encode_chunk(least), RUN), least)
 
 
-def number_within(df: DataFrame, group: str, place: str, name: str) -> DataFrame:
+def number_within(df: DataFrame, group: str, place: str | tuple[str, ...], name: str) -> DataFrame:
     """``df`` with the number of each row within its group, in the order of ``place``; a hot group spreads over chunks.
 
     Rows are numbered within their chunk; what the chunks before hold of the group is added, from a table of about as

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.formats.registry import FORMATS
+from tidelog.session import cut, small_side
 
 
 def format_of(line: Column) -> Column:
@@ -25,8 +26,12 @@ def confidence_of(fmt: Column) -> Column:
 
 
 def detect_sources(lines: DataFrame) -> DataFrame:
-    """(source, format) by the line of the least number of each source."""
-    first = lines.groupBy("source").agg(F.min_by("line", "line_no").alias("line"))
+    """(source, format) by the line of the least number of each source.
+
+    The least numbers come from a hash aggregate over two narrow columns; only lines that stand there are read as text.
+    """
+    least = small_side(cut(lines.groupBy("source").agg(F.min("line_no").alias("line_no"))))
+    first = lines.select("source", "line_no", "line").join(least, ["source", "line_no"]).groupBy("source").agg(F.min("line").alias("line"))
     return first.select("source", F.coalesce(format_of(F.col("line")), F.lit("plain")).alias("format"))
 
 

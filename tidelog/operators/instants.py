@@ -25,6 +25,9 @@ CERTAIN = ("UTC", "GMT", "Z")
 #: Years whose zone abbreviations are known; where a meaning changed, the latest counts.
 ABBREVIATION_YEARS = range(1990, 2038)
 
+#: Names of the zone database that stand for no place; the JVM doesn't know them.
+NO_ZONES = {"Factory", "localtime", "posixrules"}
+
 _MON = "(?:" + "|".join(MONTHS) + ")"
 _DAY = "(?:mon|tue|wed|thu|fri|sat|sun)"
 _NUM_ZONE = r"[+-]\d{2}(?::?\d{2})?"
@@ -85,7 +88,7 @@ def zone_table(sources: DataFrame) -> DataFrame:
     Only names of the zone database pass the filter, so at most its 600 or so reach the driver.  Numeric
     abbreviations are left out.
     """
-    known = sources.select("tz").where(F.col("tz").isin(sorted(available_timezones()))).distinct()
+    known = sources.select("tz").where(F.col("tz").isin(sorted(available_timezones() - NO_ZONES))).distinct()
     names, maps = [], []
     for (name,) in known.collect():
         zone, abbrs = ZoneInfo(name), {}
@@ -200,9 +203,9 @@ def _components(p: Column, order: Column, abbrs: Column) -> Column:
 
 def _year(t: Column, arrived: Column) -> Column:
     """The year in the text, or the latest that puts the wall clock not after ``arrived`` (wall clock, too)."""
-    place = lambda mo, d, h, mi, s: (((mo * 32 + d) * 24 + h) * 60 + mi) * 60 + s
-    later = place(*(t[x] for x in ("mo", "d", "h", "mi", "s"))) > place(
-        F.month(arrived), F.dayofmonth(arrived), F.hour(arrived), F.minute(arrived), F.second(arrived)
+    place = lambda mo, d, h, mi, s, us: ((((mo * 32 + d) * 24 + h) * 60 + mi) * 60 + s).cast("bigint") * 1_000_000 + us
+    later = place(*(t[x] for x in ("mo", "d", "h", "mi", "s", "us"))) > place(
+        F.month(arrived), F.dayofmonth(arrived), F.hour(arrived), F.minute(arrived), F.second(arrived), F.pmod(F.unix_micros(arrived), F.lit(1_000_000))
     )
 
     def leap(y: Column) -> Column:
@@ -247,13 +250,13 @@ def _instant(t: Column, tz: Column, ingested_at: Column) -> Column:
 
 def instant_us(text: Column, tz: Column, order: Column, abbrs: Column, ingested_at: Column) -> Column:
     """The instant of one time text; ``tz`` must be null or a zone of the zone database."""
-    matched = F.regexp_replace(text, ALTERNATION, _REPLACEMENT)
+    matched = F.regexp_replace(F.when(~text.rlike("[\u0001\u0002]"), text), ALTERNATION, _REPLACEMENT)
     return let(
         matched,
         lambda m: F.when(
             F.substring(m, 1, 1) == "\u0001",
             let(
-                F.split(F.substring(m, 2, 100000), "\u0002", -1),
+                F.split(m.substr(F.lit(2), F.length(m)), "\u0002", -1),
                 lambda p: let(_components(p, order, abbrs), lambda t: _instant(t, tz, ingested_at)),
             ),
         ),

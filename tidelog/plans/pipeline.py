@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.formats.records import COLUMNS
 from tidelog.formats.registry import FORMATS, parse_by_format
 from tidelog.operators.detect import detect_sources
 from tidelog.operators.grouping import group_entries, ranked
@@ -12,12 +15,15 @@ from tidelog.operators.stitch import stitch
 from tidelog.session import cut, small_side
 
 
-def parse_lines(lines: DataFrame, fmt: str = "auto", multiline: bool = True, year: int = 1970) -> DataFrame:
+def parse_lines(lines: DataFrame, fmt: str = "auto", multiline: bool = True, year: int = 1970, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Entries of lines (source, line_no, line): source, entry_no, format and the columns of a record.
 
-    Formats are detected by source, unless one is named; an unknown name counts as auto.  Only formats that take
-    several lines go through the stitcher.  ``entry_no`` is the number of an entry's first line.
+    Formats are detected by source, unless one is named; an unknown name counts as auto, with a warning.  Only formats
+    that take several lines go through the stitcher.  ``entry_no`` is the number of an entry's first line.  Only ``columns`` of the
+    records are made.
     """
+    if fmt != "auto" and fmt not in FORMATS:
+        warnings.warn(f"unknown format {fmt!r}, known: {', '.join(FORMATS)}; formats are detected", stacklevel=2)
     if fmt in FORMATS:
         detected = None
         with_format = lines.select("source", "line_no", "line", F.lit(fmt).alias("format"))
@@ -29,18 +35,18 @@ def parse_lines(lines: DataFrame, fmt: str = "auto", multiline: bool = True, yea
     single = [n for n in names if n not in whole]
     parts = []
     if single:
-        parts.append(parse_by_format(with_format.where(F.col("format").isin(single)), single, year))
+        parts.append(parse_by_format(with_format.where(F.col("format").isin(single)), single, year, columns))
     if whole:
         # a source has one format, hence its lines are stitched together whatever the format is
         own = with_format.where(F.col("format").isin(whole))
         stitched = stitch(own).drop("n_lines")
         stitched = stitched.withColumn("format", F.lit(fmt)) if detected is None else stitched.join(detected, "source")
-        parts.append(parse_by_format(stitched, whole, year))
+        parts.append(parse_by_format(stitched, whole, year, columns))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumnRenamed("line_no", "entry_no")
 
 
 def investigate(lines: DataFrame, as_of: str, fmt: str = "auto", multiline: bool = True, level: str | None = None, limit: int = 0, year: int = 1970) -> DataFrame:
     """Ranked groups of the errors and warnings of lines; ``as_of`` stands in for times that are missing."""
-    entries = parse_lines(lines, fmt, multiline, year)
+    entries = parse_lines(lines, fmt, multiline, year, ("ts", "severity", "message"))
     return ranked(group_entries(entries, as_of, level), limit)

@@ -25,7 +25,7 @@ from tidelog.operators import stats as st
 from tidelog.operators.detect import confidence_of, detect_from_samples, format_of
 from tidelog.operators.enrich import MockProvider, enrich
 from tidelog.operators.stitch import stitch
-from tidelog.plans.pipeline import parse_lines
+from tidelog.plans.pipeline import investigate
 from tidelog.session import prepare, shared_dir, spread, table
 from tidelog.streaming.watch import pattern_counts
 
@@ -447,10 +447,14 @@ _GROUP_COLUMNS = (
 _RANK = "CASE severity WHEN 'Error' THEN 0 WHEN 'Warning' THEN 1 ELSE 2 END"
 
 
+#: What the grouping operators read of a record.
+GROUPED_COLUMNS = ("ts", "severity", "message", "file", "file_line")
+
+
 def _entries(spark, sf_dir) -> DataFrame:
     """Entries of plain lines, some without time, whose severities differ within a pattern."""
     df = lines(spark, sf_dir, "plain_z").withColumnRenamed("event_id", "entry_no").select("entry_no", "line")
-    df = records.parse_plain(df)
+    df = records.parse_plain(df, GROUPED_COLUMNS)
     return df.withColumn("ts", F.when(F.col("entry_no") % 9 != 0, F.col("ts"))).withColumn(
         "message", F.regexp_replace("message", F.lit("user [0-9]+$"), F.concat(F.lit("user "), (F.col("entry_no") % 3).cast("string")))
     )
@@ -483,7 +487,7 @@ _JSON_ENTRIES = (
 
 @query("group_errors_json", f"WITH {duck_lines('json')}, {_JSON_ENTRIES}, {_GROUPED} SELECT pattern, cnt, severity, first_no FROM a")
 def group_errors_json(spark, sf_dir):
-    df = records.parse_json(lines(spark, sf_dir, "json").select(F.col("event_id").alias("entry_no"), "line"))
+    df = records.parse_json(lines(spark, sf_dir, "json").select(F.col("event_id").alias("entry_no"), "line"), GROUPED_COLUMNS)
     return gr.group_entries(df, AS_OF).select("pattern", "cnt", "severity", "first_no")
 
 
@@ -495,7 +499,7 @@ def group_examples(spark, sf_dir):
 
 @query("occurrence_numbers", f"{_GROUP_CTE} SELECT entry_no, pattern, row_number() OVER (PARTITION BY pattern ORDER BY entry_no) AS occurrence FROM g")
 def occurrence_numbers(spark, sf_dir):
-    return gr.occurrences(_entries(spark, sf_dir)).select("entry_no", "pattern", "occurrence")
+    return gr.occurrences(_entries(spark, sf_dir), keep=("pattern",)).select("entry_no", "pattern", "occurrence")
 
 
 @query("report_summary", f"{_GROUP_CTE} SELECT count(*) AS n_groups, CAST(sum(cnt) AS BIGINT) AS n_entries FROM a")
@@ -526,14 +530,15 @@ def prompt_build(spark, sf_dir):
     return groups.select("pattern", F.substring_index(made, "\n\nAnswer with", 1).alias("prompt"))
 
 
+def _raw_lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "raw_lines").select(F.col("file_id").cast("string").alias("source"), "line_no", F.col("raw").alias("line"))
+
+
 @query("investigate_lines")
 def investigate_lines(spark, sf_dir):
     """The whole plan over the raw lines of all files: formats, stitching, parsing, grouping, ranking."""
     prepare(spark)
-    raw = table(spark, sf_dir, "raw_lines").select(F.col("file_id").cast("string").alias("source"), "line_no", F.col("raw").alias("line"), "line_id")
-    entries = parse_lines(raw.select("source", "line_no", "line"), year=YEAR)
-    numbered = entries.join(raw.select("source", F.col("line_no").alias("entry_no"), "line_id"), ["source", "entry_no"])
-    return _flat(gr.ranked(gr.group_entries(numbered.drop("entry_no").withColumnRenamed("line_id", "entry_no"), AS_OF)))
+    return _flat(investigate(_raw_lines(spark, sf_dir), AS_OF, year=YEAR))
 
 
 @query("enrich_groups")

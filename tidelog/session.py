@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 #: Settings every query sets for itself, as the caller owns the session.
 REQUIRED = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true"}
+#: Static setting that a session should be built with: without it the client takes a stack trace for each expression,
+#: which costs as much as to analyse the plan.
+NO_DEBUGGING = ("spark.python.sql.dataFrameDebugging.enabled", "false")
+#: Checkpoints are deleted once nothing refers to them any more; read by the context at each checkpoint.
+CLEANING = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,6 +38,7 @@ def ship(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the code and apply the settings results depend on: UTC session zone, last-wins duplicate JSON keys."""
     ship(spark)
+    spark.sparkContext._jsc.sc().conf().set(CLEANING, "true")
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -73,15 +79,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as the session has cores.
+    """``df`` over all cores of the session, if it is one small file or so; else as it is.
 
-    A table in fewer splits than cores (one small file, say) would leave cores idle in front of costly expressions;
-    tables of any size worth mentioning have more splits and are left as they are.
+    A table of a few splits leaves most cores idle in front of costly expressions.  Only tables of up to ``SPREAD_BYTES``
+    are shuffled for it; larger ones have splits enough.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) <= SPREAD_BYTES else df
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The plan's own estimate of its size; no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Size of the files up to which a table is spread over all cores.
+SPREAD_BYTES = 256 << 20
+
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 50_000
 
