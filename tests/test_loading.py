@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators.loading import assemble_rows, _unquoted_quote, bad_rows, file_counts, load_row, load_rows
+from tidelog.operators.loading import _unquoted_quote, assemble_rows, bad_rows, file_counts, load_lines, load_row, load_rows
 
 OK = "2025-01-27T14:52:07+01:00;Error;Job;a.py;12;p;0.5;text"
 
@@ -92,27 +92,42 @@ def test_typed_fields_and_counts(spark):
 
 def test_rows_are_assembled_over_many_chunks(spark):
     rng = random.Random(6)
-    pool = ["a;b", 'a;"b', 'c";d', '"x ""y"" z"', "", '"']
+    pool = ["a;b", 'a;"b', 'c";d', '"x ""y"" z"', "", '"', OK]
     rows = [(f, n, rng.choice(pool)) for f, size in ((1, 2000), (2, 7), (3, 1)) for n in range(size)]
     want = set()
     for f in (1, 2, 3):
         row, quotes = None, 0
         for _, n, x in [r for r in rows if r[0] == f]:
-            if quotes % 2:
+            if quotes % 2 and x != OK:
                 row[1].append(x)
             else:
                 if row:
                     want.add((f, row[0], "\n".join(row[1])))
-                row = (n, [x])
+                row, quotes = (n, [x]), 0
             quotes += x.count('"')
         want.add((f, row[0], "\n".join(row[1])))
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.createDataFrame(rows + [(None, 1, "x")], "file_id bigint, line_no bigint, line string").repartition(5)
-        got = [tuple(r) for r in assemble_rows(df).collect()]
+        stats = spark.createDataFrame([(f, "rows", ";", 0) for f in (1, 2, 3)], STATS)
+        got = [tuple(r)[:3] for r in assemble_rows(df, stats).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(got) == len(want) and set(got) == want
-    assert assemble_rows(df.where("false")).count() == 0
+    assert assemble_rows(df.where("false"), stats).count() == 0
+
+
+def test_a_quote_left_open_costs_no_good_row(spark):
+    quoted = OK.replace("text", '"two\nlines"')
+    lines = [OK, OK.replace("text", '"never closed'), OK.replace("Job", "Next"), *quoted.split("\n"), "a;b"]
+    df = spark.createDataFrame([(1, n, x) for n, x in enumerate(lines)], "file_id bigint, line_no bigint, line string")
+    out = load_lines(df, spark.createDataFrame([(1, "rows", ";", 0)], STATS))
+    got = {r.row_no: (r.reason, r.component, r.message) for r in out.collect()}
+    assert got == {0: (None, "Job", "text"), 1: ("quoting", None, None), 2: (None, "Next", "text"), 3: (None, "Job", "two\nlines"), 5: ("column_count", None, None)}
+
+
+def test_private_characters_stay():
+    row = load_row(OK.replace("text", '"a\ue00a\ue00d""\nb\r"'), ";", _unquoted_quote(";"))
+    assert row[0] is None and row[-1] == 'a\ue00a\ue00d"\nb\r'

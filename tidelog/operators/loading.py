@@ -1,7 +1,7 @@
 """Delimited rows that can't be loaded, apart with the reason, while the good ones become typed fields (problem 6).
 
-Method: rows are read quote-aware by Python's strict csv reader inside the partitions; structural exceptions
-are captured before the typed field constructors see a row.
+Method: rows are assembled quote-aware from their physical lines and read by Python's strict csv reader inside the
+partitions; structural exceptions are captured before the typed field constructors see a row.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 from decimal import Context, Decimal
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.chunks import by_ranges
+from tidelog.operators.joining import Places, joined_lines, last_before
 from tidelog.schema import SEVERITIES
 from tidelog.session import cut, small_side
 
@@ -33,8 +35,8 @@ _RFC3339 = re.compile(
     r"([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]+))?(?:([Zz])|([+-])([0-9]{2}):([0-9]{2}))"
 )
 _WHOLE, _DECIMAL = re.compile("[0-9]+"), re.compile(r"[0-9]+(?:\.[0-9]+)?")
-#: Line breaks inside a row are part of its fields; the reader gets these stand-ins for them.
-_HIDE, _SHOW = str.maketrans("\n\r", ""), str.maketrans("", "\n\r")
+#: Bits of a physical line's mark: a good row by itself, or an odd number of quotes.
+GOOD, ODD = 1, 2
 
 LOADED = (
     "row_id BIGINT, file_id BIGINT, row_no BIGINT, reason STRING, ts TIMESTAMP, severity STRING, component STRING, "
@@ -110,17 +112,30 @@ def _unquoted_quote(delimiter: str) -> re.Pattern:
     return re.compile(rf"{field}(?:{d}{field})*+")
 
 
+def _stand_ins(raw: str) -> tuple[dict, dict]:
+    """Tables to and from two characters that the row doesn't hold, in place of its line breaks."""
+    free = (c for c in map(chr, range(0xE000, 0x110000)) if c not in raw)
+    hidden = {"\n": next(free), "\r": next(free)}
+    return str.maketrans(hidden), str.maketrans({v: k for k, v in hidden.items()})
+
+
 def split_row(raw: str, delimiter: str, shape: re.Pattern) -> list[str]:
-    """The fields of one row; raises Unloadable for broken quoting."""
-    if '"' not in raw:
-        return raw.split(delimiter)
+    """The fields of one row by the strict reader; raises Unloadable for broken quoting.
+
+    The physical lines of a row are one record: line breaks are part of its fields, quoted or not.  The reader ends a record
+    at an unquoted one, so they go in as characters that the row doesn't hold.
+    """
+    breaks = "\n" in raw or "\r" in raw
+    hide, show = _stand_ins(raw) if breaks else (None, None)
     try:
-        rows = list(csv.reader([raw.translate(_HIDE)], delimiter=delimiter, strict=True))
+        rows = list(csv.reader((raw.translate(hide) if breaks else raw,), delimiter=delimiter, strict=True))
     except csv.Error:
         raise Unloadable("quoting") from None
-    if not shape.fullmatch(raw):
+    # the reader lets quotes inside unquoted fields pass
+    if '"' in raw and not shape.fullmatch(raw):
         raise Unloadable("quoting")
-    return [x.translate(_SHOW) for x in rows[0]]
+    fields = rows[0] if rows and rows[0] else [raw]
+    return [x.translate(show) for x in fields] if breaks else fields
 
 
 def load_row(raw: str | None, delimiter: str, shape: re.Pattern) -> tuple:
@@ -148,35 +163,68 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, schema=_LOADED_ARROW)
 
 
-def assemble_rows(lines: DataFrame) -> DataFrame:
-    """(file_id, row_no, raw): whole rows of physical lines; a row goes on while a quote is open.
+class QuoteWalk(Places):
+    """Whether a quote is open, vectorised; a line that is a good row by itself ends one that was never closed."""
+
+    def __init__(self, open_before: bool):
+        super().__init__(open_before)
+        self.bit = int(open_before)
+
+    def batch(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        mark = b["mark"].to_numpy()
+        place, start = self.places(b)
+        good = mark & GOOD > 0
+        odd = (mark & ODD > 0) & ~good
+        run = np.cumsum(np.concatenate(([0], odd)))
+        reset = last_before(good | ((place == start) & (place > 0)), np.arange(len(place)), -1)[1:]
+        open_ = np.where(reset < 0, run[:-1] + self.bit, run[:-1] - run[np.maximum(reset, 0)]) % 2 == 1
+        self.bit = int(open_[-1] ^ odd[-1])
+        return good | ~open_, np.ones(len(place), bool)
+
+    @property
+    def is_open(self) -> bool:
+        return bool(self.bit)
+
+
+_MARKED = pa.schema([("source", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("mark", pa.int32())])
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    csv.field_size_limit(min(sys.maxsize, 2**31 - 1))
+    shapes: dict[str, re.Pattern] = {}
+    for b in batches:
+        marks = []
+        for line, d in zip(b["line"].to_pylist(), b["delimiter"].to_pylist()):
+            shape = shapes.get(d) or shapes.setdefault(d, _unquoted_quote(d))
+            good = load_row(line, d, shape)[0] is None
+            marks.append(GOOD if good else ODD * (line.count('"') % 2))
+        yield pa.RecordBatch.from_arrays([b["source"], b["line_no"], b["line"], pa.array(marks, pa.int32())], schema=_MARKED)
 
-    ``lines``: file_id, line_no, line; other columns are ignored.  Whether a quote is open is one bit, the parity of
-    the quotes before, so a file of any size spreads over chunks and only their sums are carried on.  ``row_no`` is the
-    number of a row's first line.  A quote that is never closed takes the rest of its file.  Lines without file or number
-    have no place and are left out; null lines count as empty.
+
+def assemble_rows(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """(file_id, row_no, raw, n_lines): whole rows of physical lines; a row goes on while a quote is open.
+
+    ``lines``: file_id, line_no, line; ``stats`` as for :func:`load_rows`; other columns are ignored.  Whether a quote is
+    open is one bit, so a file of any size spreads over chunks.  A quote that is never closed costs no good row: a line that
+    can be loaded by itself always begins a row, and the broken one ends before it.  ``row_no`` is the number of a row's
+    first line.  Lines without file or number have no place and are left out; null lines count as empty.
     """
-    placed = lines.where("file_id IS NOT NULL AND line_no IS NOT NULL").select("file_id", "line_no", F.coalesce("line", F.lit("")).alias("line"))
-    ranged = cut(
-        by_ranges(placed, "file_id", "line_no", "line").select(
-            "*", F.monotonically_increasing_id().alias("at"), F.regexp_count("line", F.lit('"')).alias("quotes")
-        )
-    )
-    chunks = Window.partitionBy("file_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    local = Window.partitionBy("file_id", "chunk").orderBy("at")
-    sums = ranged.groupBy("file_id", "chunk").agg(F.sum("quotes").alias("q"))
-    sums = sums.select("file_id", "chunk", F.coalesce(F.sum("q").over(chunks), F.lit(0)).alias("before"))
-    earlier = F.coalesce(F.sum("quotes").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = ranged.withColumn("earlier", earlier).join(sums, ["file_id", "chunk"])
-    df = cut(df.select("file_id", "chunk", "at", "line_no", "line", ((F.col("before") + F.col("earlier")) % 2 == 0).alias("head")))
-    heads = df.groupBy("file_id", "chunk").agg(F.max(F.when(F.col("head"), F.col("at"))).alias("last"))
-    heads = heads.select("file_id", "chunk", F.max("last").over(chunks).alias("carried"))
-    own = F.max(F.when(F.col("head"), F.col("at"))).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("own", own).join(heads, ["file_id", "chunk"]).withColumn("row", F.coalesce("own", "carried"))
-    parts = F.array_sort(F.collect_list(F.struct("at", "line_no", "line")))
-    return df.groupBy("file_id", "row").agg(parts.alias("parts")).select(
-        "file_id", F.col("parts")[0]["line_no"].alias("row_no"), F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("raw")
-    )
+    placed = lines.where("file_id IS NOT NULL AND line_no IS NOT NULL")
+    placed = _with_delimiter(placed.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("line", F.lit("")).alias("line")), stats)
+    marked = cut(placed.withColumn("source", F.col("file_id").cast("string")).mapInArrow(_mark, "source STRING, line_no BIGINT, line STRING, mark INT"))
+    rows = joined_lines(cut(by_ranges(marked, "source", "line_no", "line")), QuoteWalk)
+    return rows.select(F.col("source").cast("bigint").alias("file_id"), F.col("line_no").alias("row_no"), F.col("line").alias("raw"), "n_lines")
+
+
+def load_lines(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """The rows of files of physical lines, assembled and loaded: the columns of ``LOADED``, without ``row_id``."""
+    return load_rows(assemble_rows(lines, stats).withColumn("row_id", F.lit(None).cast("bigint")), stats).drop("row_id")
+
+
+def _with_delimiter(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Rows with the delimiter of their file."""
+    known = rows.join(small_side(delimiters(stats)), "file_id", "left")
+    return known.withColumn("delimiter", F.coalesce("delimiter", F.lit(DEFAULT_DELIMITER)))
 
 
 def delimiters(stats: DataFrame) -> DataFrame:
@@ -194,9 +242,7 @@ def load_rows(rows: DataFrame, stats: DataFrame) -> DataFrame:
     optional fields become null.  Repeated rows stay.  Durations beyond 29 digits stay good, their value null.
     """
     df = rows.select(*(F.col(c).cast("bigint") for c in ("row_id", "file_id", "row_no")), "raw")
-    df = df.join(small_side(delimiters(stats)), "file_id", "left")
-    df = df.select("row_id", "file_id", "row_no", "raw", F.coalesce("delimiter", F.lit(DEFAULT_DELIMITER)).alias("delimiter"))
-    return df.mapInArrow(_load, LOADED)
+    return _with_delimiter(df, stats).mapInArrow(_load, LOADED)
 
 
 def bad_rows(rows: DataFrame, stats: DataFrame) -> DataFrame:

@@ -1,23 +1,19 @@
 """Multi-line stitching M1-M4: stack traces join the error line before them.
 
 The state machine's state is one bit, whether a trace is open.  Lines are range-partitioned by (source, line_no), so
-that a source of any size spreads over many chunks, and a chunk is a function of the bit that enters it.  A first pass
-describes each chunk for both values of the bit; composing these descriptions, one a chunk, gives the bit that enters
-each chunk and the chunk whose last entry a chunk's first lines go on with.  A second pass makes the entries of each
-chunk; only what crosses the edges of chunks is joined to them.
+that a source of any size spreads over many chunks, and joined by ``tidelog.operators.joining``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.chunks import by_ranges
-from tidelog.session import cut, small_side
+from tidelog.operators.joining import Places, joined_lines, last_before
+from tidelog.session import cut
 
 # Lines that go on with a trace, and words that begin one.
 CONTINUATIONS = (
@@ -33,7 +29,6 @@ ERROR_START = r"(?i)(?:Exception|Error|Traceback|Panic|Fatal|Caused by:)"
 _CONTINUATION = "^(?:" + "|".join(x.removeprefix("^") for x in CONTINUATIONS) + ")"
 #: Bits of a line's mark.
 BLANK, GOES_ON, BEGINS = 1, 2, 4
-_LAST = 1  # ``edge`` of a chunk's last entry
 
 
 def is_blank(line: Column) -> Column:
@@ -56,154 +51,39 @@ def mark(line: Column) -> Column:
     return F.when(is_blank(line), BLANK).otherwise(rest)
 
 
-class _Walk:
-    """Goes over the sorted batches of one chunk; vectorised state machine for a given bit at its beginning."""
+class TraceWalk(Places):
+    """The state machine of traces, vectorised; the bit says whether a trace is open."""
 
     def __init__(self, open_before: bool):
-        self.open_before, self.at = open_before, 0
-        self.anew = self.begins = self.start = -1
-        self.source: str | None = None
-        self.first: str | None = None
+        super().__init__(open_before)
+        self.anew = self.begins = -1
 
     def batch(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """(head, kept) of the rows; ``open`` after them."""
-        bits, n = b["mark"].to_numpy(), b.num_rows
-        place = np.arange(self.at, self.at + n)
-        source = b["source"].dictionary_encode().indices.to_numpy()
-        fresh = np.ones(n, bool)
-        fresh[1:] = source[1:] != source[:-1]
-        name = b["source"][0].as_py()
-        fresh[0] = self.at == 0 or name != self.source
-        if self.at == 0:
-            self.first = name
-        before = lambda hit, carried: np.maximum.accumulate(np.concatenate(([carried], np.where(hit, place, -1))))
-        anew = before(bits & (BLANK | GOES_ON) == 0, self.anew)
-        begins = before(bits & BEGINS > 0, self.begins)
-        start = before(fresh, self.start)[1:]
+        bits = b["mark"].to_numpy()
+        place, start = self.places(b)
+        anew = last_before(bits & (BLANK | GOES_ON) == 0, place, self.anew)
+        begins = last_before(bits & BEGINS > 0, place, self.begins)
         none_yet = anew[:-1] < start
         in_trace = np.where(none_yet, (begins[:-1] >= start) | (self.open_before & (start == 0)), begins[:-1] >= anew[:-1])
-        blank, goes_on = bits & BLANK > 0, bits & GOES_ON > 0
-        head = ~blank & ~(goes_on & in_trace)
-        self.at, self.anew, self.begins, self.start, self.source = self.at + n, anew[-1], begins[-1], start[-1], b["source"][n - 1].as_py()
+        head = (bits & BLANK == 0) & ~((bits & GOES_ON > 0) & in_trace)
+        self.anew, self.begins = anew[-1], begins[-1]
         return head, head | in_trace
 
     @property
     def is_open(self) -> bool:
-        """The bit after the last row."""
         if self.anew < self.start:
             return bool(self.begins >= self.start or (self.open_before and self.start == 0))
         return bool(self.begins >= self.anew)
 
 
-_SIDE = [("n_{0}", pa.int64()), ("head_{0}", pa.bool_()), ("open_{0}", pa.bool_()), ("piece_{0}", pa.string())]
-_CHUNK = pa.schema(
-    [("chunk", pa.int32()), ("first", pa.string()), ("last", pa.string()), *((name.format(i), kind) for i in (0, 1) for name, kind in _SIDE)]
-)
-CHUNK = "chunk INT, first STRING, last STRING, " + ", ".join(f"n_{i} BIGINT, head_{i} BOOLEAN, open_{i} BOOLEAN, piece_{i} STRING" for i in (0, 1))
-
-
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a chunk: for either bit, the lines before its first head, whether it has a head, and the bit after it."""
-    walks, chunk = (_Walk(False), _Walk(True)), None
-    pieces: tuple[list[str], list[str]] = ([], [])
-    headed = [False, False]
-    for b in batches:
-        if not b.num_rows:
-            continue
-        chunk = b["chunk"][0].as_py()
-        for i, walk in enumerate(walks):
-            head, kept = walk.batch(b)
-            if not headed[i]:
-                at = int(head.argmax()) if head.any() else b.num_rows
-                headed[i] = bool(head.any())
-                pieces[i].extend(b["line"].filter(pa.array(kept & (np.arange(b.num_rows) < at))).to_pylist())
-    if chunk is not None:
-        row = [chunk, walks[0].first, walks[0].source]
-        for i, walk in enumerate(walks):
-            row += [len(pieces[i]), headed[i], walk.is_open, "\n".join(pieces[i])]
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNK)], schema=_CHUNK)
-
-
-_ENTRY = pa.schema([("chunk", pa.int32()), ("edge", pa.int32()), ("source", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("n_lines", pa.int64())])
-ENTRY = "chunk INT, edge INT, source STRING, line_no BIGINT, line STRING, n_lines BIGINT"
-
-
-def _entries(open_chunks: frozenset[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The entries that begin in a chunk; ``open_chunks``: those that a trace enters."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, chunk = None, -1
-        held: tuple[str, int, list[str]] | None = None
-
-        def out(rows: list[tuple[str, int, list[str]]], edge: int) -> pa.RecordBatch:
-            columns = [
-                [chunk] * len(rows), [edge] * len(rows), [r[0] for r in rows], [r[1] for r in rows], ["\n".join(r[2]) for r in rows], [len(r[2]) for r in rows],
-            ]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY)], schema=_ENTRY)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if walk is None:
-                chunk = b["chunk"][0].as_py()
-                walk = _Walk(chunk in open_chunks)
-            head, kept = walk.batch(b)
-            rows = pa.Table.from_batches([b]).filter(pa.array(kept))
-            sources, numbers, lines = rows["source"].to_pylist(), rows["line_no"].to_pylist(), rows["line"].to_pylist()
-            heads = np.flatnonzero(head[kept]).tolist()
-            lead = heads[0] if heads else len(lines)
-            if held:
-                held[2].extend(lines[:lead])
-            made = [(sources[a], numbers[a], lines[a:z]) for a, z in zip(heads, [*heads[1:], len(lines)])]
-            if made:
-                done = [held, *made[:-1]] if held else made[:-1]
-                held = made[-1]
-                if done:
-                    yield out(done, 0)
-        if held:
-            yield out([held], _LAST)
-
-    return make
-
-
-def _resolve(chunks: list) -> tuple[frozenset[int], dict[int, tuple[int, int]]]:
-    """The chunks that a trace enters, and for chunks that begin inside an entry (owner of the entry, bit)."""
-    entered, owners = set(), {}
-    before, owner = None, -1
-    for c in sorted(chunks, key=lambda r: r["chunk"]):
-        same = before is not None and before[0] == c["first"]
-        bit = int(same and before[1])
-        if bit:
-            entered.add(c["chunk"])
-        if c[f"n_{bit}"]:
-            owners[c["chunk"]] = (owner, bit)
-        if c[f"head_{bit}"]:
-            owner = c["chunk"]
-        before = (c["last"], c[f"open_{bit}"])
-    return frozenset(entered), owners
-
-
 def stitch(lines: DataFrame) -> DataFrame:
     """M1: (source, line_no, line, n_lines): one row an entry, its lines joined by line breaks, numbered by the first.
 
     ``lines``: source, line_no, line; other columns are ignored.  Blank lines outside of traces and null lines are
     left out; lines without source or number have no place and are left out, too; repeated places all stay.  An
-    entry is one text, however many lines it has.  What reaches the driver is one short row a chunk.
+    entry is one text, however many lines it has.
     """
     placed = lines.where("source IS NOT NULL AND line_no IS NOT NULL AND line IS NOT NULL")
     placed = placed.select("source", F.col("line_no").cast("bigint").alias("line_no"), "line", mark(F.col("line")).alias("mark"))
     ranged = cut(by_ranges(placed, "source", "line_no", "line"))
-    shapes = ranged.mapInArrow(_describe, CHUNK)
-    entered, owners = _resolve(shapes.drop("piece_0", "piece_1").collect())
-    made = ranged.mapInArrow(_entries(entered), ENTRY)
-    if owners:
-        spark = lines.sparkSession
-        known = spark.createDataFrame([(c, o, b) for c, (o, b) in owners.items()], "chunk INT, owner INT, bit INT")
-        side = lambda name: F.when(F.col("bit") == 1, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
-        pieces = shapes.join(F.broadcast(known), "chunk").groupBy("owner").agg(
-            F.array_sort(F.collect_list(F.struct("chunk", side("piece").alias("piece")))).alias("parts"), F.sum(side("n")).alias("more")
-        )  # one piece a chunk, of the one entry that goes on over all of them
-        tails = pieces.select("owner", F.lit(_LAST).alias("last"), F.array_join(F.transform("parts", lambda x: x["piece"]), "\n").alias("tail"), "more")
-        made = made.join(small_side(cut(tails), 1_000), (made["chunk"] == F.col("owner")) & (made["edge"] == F.col("last")), "left")
-        made = made.withColumn("line", F.concat_ws("\n", "line", "tail")).withColumn("n_lines", F.col("n_lines") + F.coalesce("more", F.lit(0)))
-    return made.select("source", "line_no", "line", "n_lines")
+    return joined_lines(ranged, TraceWalk)
