@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.operators import chunks
-from tidelog.operators.fields import TemplateTree, entries_of_lines
+from tidelog.operators.fields import Layouts, TemplateTree, entries_of_lines, header_of, learn_templates
 
 CASES = [
     ('{"timestamp": "2025-01-12T15:00:18.453Z", "level": "information", "component": "a.b.c", "text": "x"}', ("Info", "a.b.c", "x")),
@@ -35,25 +35,56 @@ CASES = [
 ]
 
 
+def layouts_of(lines):
+    tree = TemplateTree()
+    for x in lines:
+        tree.learn(x)
+    return Layouts(h for t in tree.templates() if (h := header_of(t.tokens)))
+
+
 @pytest.mark.parametrize("line, want", CASES)
 def test_headers(line, want):
-    got = TemplateTree().parse(line)
+    got = layouts_of(x for x, _ in CASES).parse(line)
     assert (got and (got.severity, got.component, got.message)) == want
 
 
-def test_templates_merge_and_route_by_count():
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("2025/03/01 10:00:00 | WARN | billing.Worker | paid late", ("2025/03/01 10:00:00", "Warning", "billing.Worker", "paid late")),
+        ("ERROR 2025-03-01T10:00:00Z [billing] lost 3 rows", ("2025-03-01T10:00:00Z", "Error", "billing", "lost 3 rows")),
+        ("Mar  1 10:00:00 web7 sshd[411]: session opened", ("Mar  1 10:00:00", "Unknown", "sshd", "session opened")),
+        ("2025-03-01 10:00:00,123 [main] DEBUG # a.b # ready", ("2025-03-01 10:00:00,123", "Debug", "a.b", "ready")),
+    ],
+)
+def test_layouts_that_no_rule_names(line, want):
+    assert tuple(layouts_of([line]).parse(line)) == want
+
+
+def test_templates_merge():
     tree = TemplateTree()
-    for i in range(50):
-        tree.parse(f"2025-03-12T15:38:52.245Z w{i}: Release {i} done")
-    assert sum(len(x) for b in tree.branches.values() for x in b.values()) == 1
+    for verb, what in (("Release", "done"), ("Release", "late"), ("Backup", "done")):
+        for i in range(50):
+            tree.learn(f"2025-03-12T15:38:52.245Z WARN w{i}: {verb} of node {i} {what}")
+    (template,) = tree.templates()
+    assert template.tokens == ["<ISO>", "<LEVEL>", "<NAME>:", "<*>", "=of", "=node", "<NUM>", "<*>"] and template.lines == 150 and template.merges == 2
+    tree.learn("2025-03-12T15:38:52.245Z WARN [w]: Release of node 1 done")  # another structure is another template
+    tree.learn("2025-03-12T15:38:52.245Z WARN w: Release of node 1 done again")  # and so is another number of tokens
+    assert sum(1 for _ in tree.templates()) == 3
+
+
+def test_one_tree_over_partitions(spark):
+    lines = [(f"2025-03-12T15:38:52.245Z INFO {w}: {w} took {i} ms",) for i in range(40) for w in ("alpha", "beta", "gamma", "delta")]
+    (row,) = learn_templates(spark.createDataFrame(lines, "raw string").repartition(8)).collect()
+    assert row.tokens == ["<ISO>", "<LEVEL>", "<NAME>:", "<*>", "=took", "<NUM>", "=ms"] and row.lines == 160 and row.merges > 0
 
 
 def brute(rows):
-    tree, out, file_, open_ = TemplateTree(), {}, None, None
+    layouts, out, file_, open_ = layouts_of(r[3] for r in rows), {}, None, None
     for line_id, f, _, raw in sorted(rows, key=lambda r: (r[1], r[2])):
         if f != file_:
             file_, open_ = f, None
-        h = tree.parse(raw)
+        h = layouts.parse(raw)
         if h:
             open_ = line_id
             out[line_id] = [1, h.severity, h.component]

@@ -1,18 +1,20 @@
 """Log lines of many layouts -> entries with timestamp, severity, component and message (problem 5).
 
-Method: a fixed-depth template tree.  The tokens of a line are masked, the line is routed by its number of
-tokens and its leading masked tokens to a leaf, similar templates of a leaf are merged, and each template maps
-positions to fields.  The map of a template follows from the leading masked tokens alone, hence every worker
-grows its own tree and all of them give the same fields.  Lines without a header template go on with the entry
-before them; the stretches are closed across chunk boundaries by ``tidelog.operators.chunks``.
+Method: a fixed-depth template tree.  A first pass masks all tokens of all lines, routes each line by its number of
+tokens and its leading tokens to a leaf, and merges similar templates, within partitions and then over all of them; words
+that differ become places that vary.  Each merged template gives a map of positions to fields, and the headers of all
+maps make one small trie.  The second pass takes the fields of each line by that trie.  Lines without a header go on with
+the entry before them; the stretches are closed across chunk boundaries by ``tidelog.operators.chunks``.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
+from operator import eq
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -36,16 +38,21 @@ LEVEL_KEYS = ("level", "severity", "priority", "lvl")
 TEXT_KEYS = ("message", "msg", "text")
 COMPONENT_KEYS = ("component", "logger", "service", "app", "program", "module")
 
-#: Depth of the tree: so many leading tokens choose the leaf.
-DEPTH = 7
-#: Lines with more tokens share the last branch of the first level.
+#: Depth of the tree: so many leading tokens, after the number of tokens, choose the leaf.
+DEPTH = 3
+#: Lines with more tokens share the last branch of the first level; their templates have so many positions.
 MOST_TOKENS = 64
+#: Positions in which a header ends.
+HEADER = 10
 #: Share of equal tokens from which a line merges into a template of its leaf.
 SIMILAR = 0.5
+#: Where the lines of a template differ.
+VARIES = "<*>"
 
 _ESCAPES = re.compile(r"\x1b(?:\[[0-9;?]*[ -/]*[@-~]|\][^\x07]*\x07|[@-Z\\-_])|\x1b|\x07|\x08|\ufeff|\x00")
 _TOKEN = re.compile(r"\S+")
 _LEVEL = "|".join(sorted((w for w in SEVERITY_OF if len(w) > 1), key=len, reverse=True))
+_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 #: Masks of a token, the first that fits; a named mask may be a constant part of a template.
 _MASKS = [
     (mask, re.compile(rx))
@@ -61,19 +68,18 @@ _MASKS = [
         ("<PIDTID>", r"\d+#\d+:$"),
         ("<UUID>", r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),
         ("<NUM>", r"\d+$"),
+        ("<MON>", rf"(?:{_MONTHS})$"),
+        ("<DAY>", r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)$"),
         ("<LEVEL>", rf"(?i:{_LEVEL})$"),
         ("[<LEVEL>]", rf"\[(?:(?i:{_LEVEL})|[A-Z])\]$"),
         ("<LEVEL>:<NAME>:", rf"(?i:{_LEVEL}):[\w.$/-]+:"),
+        ("<TAG>:", r"[A-Za-z][\w.$/-]*\[\d+\]:$"),
         ("<KEY>=", r"[A-Za-z@][\w.@-]*="),
         ("<OBJECT>", r"\{"),
         ("[<*>]", r"\[[^\[\]]*\]$"),
-        ("---", r"---$"),
-        ("-", r"-$"),
-        (":", r":$"),
-        ("<NAME>:", r"[A-Za-z][\w.$/-]*(?:\[\d+\])?:$"),
+        ("<NAME>:", r"[A-Za-z][\w.$/-]*:$"),
     )
 ]
-_LETTERED = re.compile(r"[A-Za-z][\w.$/-]*$")
 _PAIR = re.compile(r'([A-Za-z@][\w.@-]*)=("(?:[^"\\]|\\.)*"|\S*)')
 _STATUS = re.compile(r'"(?:[^"\\]|\\.)*" (\d{3}) (?:\d+|-)')
 _TAG = re.compile(r"^([^\[:\s]*)(?:\[[^\]]*\])?:?$")
@@ -89,19 +95,28 @@ class Header(NamedTuple):
 
 
 class Template:
-    """A masked line with ``<*>`` where its lines differ, and the positions of its fields."""
+    """A masked line with ``<*>`` where its lines differ."""
 
-    __slots__ = ("tokens", "fields")
+    __slots__ = ("tokens", "lines", "merges")
 
-    def __init__(self, tokens: list[str], fields: Callable | None):
-        self.tokens, self.fields = tokens, fields
+    def __init__(self, tokens: list[str], lines: int = 0):
+        self.tokens, self.lines, self.merges = list(tokens), lines, 0
 
     def likeness(self, tokens: list[str]) -> float:
-        return sum(a == b for a, b in zip(self.tokens, tokens)) / max(1, len(tokens))
+        """Share of equal tokens."""
+        return sum(map(eq, self.tokens, tokens)) / max(1, len(tokens))
 
-    def merge(self, tokens: list[str]) -> None:
+    def merge(self, tokens: list[str], lines: int = 1) -> None:
+        self.lines += lines
         if self.tokens != tokens:
-            self.tokens = [a if a == b else "<*>" for a, b in zip(self.tokens, tokens)]
+            merged = [a if a == b else VARIES for a, b in zip(self.tokens, tokens)]
+            self.merges += merged != self.tokens
+            self.tokens = merged
+
+
+def is_mask(token: str) -> bool:
+    """Words stand in templates behind an equals sign, all else is a mask; a place that varies is none."""
+    return token[0] != "=" and token != VARIES
 
 
 def clean_line(line: str) -> str:
@@ -109,12 +124,23 @@ def clean_line(line: str) -> str:
     return _ESCAPES.sub("", line).rstrip("\r\n")
 
 
-@lru_cache(maxsize=20_000)
-def mask(token: str) -> str:
+_ZERO = bytes.maketrans(b"123456789", b"000000000")
+
+
+@lru_cache(maxsize=100_000)
+def mask(shape: bytes) -> str:
+    """The mask of a token, whose digits are all zeros; a word stays itself, anything else varies."""
+    token = shape.decode("utf-8", "surrogatepass")
     for name, rx in _MASKS:
         if rx.match(token):
             return name
-    return "<NAME>" if _LETTERED.match(token) else "<*>"
+    return VARIES if "0" in token else f"={token}"
+
+
+def masked(line: str, most: int) -> list[str]:
+    """The masks of the first tokens of a line; zeros in place of digits make nearly all tokens known ones."""
+    text = line if line.isascii() else " ".join(line.split())  # bytes know only the white space of ASCII
+    return list(map(mask, text.encode("utf-8", "surrogatepass").translate(_ZERO).split(None, most)[:most]))
 
 
 def severity_of_level(level: str) -> str:
@@ -132,6 +158,7 @@ def severity_of_status(status: int) -> str:
     return "Error" if 500 <= status <= 599 else "Warning" if 400 <= status <= 499 else "Info"
 
 
+@lru_cache(maxsize=10_000)
 def _positions(ts: tuple[int, int], level: int | None, component: int | None, message: int) -> Callable:
     """Fields at token positions; ``ts`` is the first and last token of the timestamp."""
 
@@ -216,72 +243,263 @@ def _pairs(line: str, spans: list[tuple[int, int]]) -> Header | None:
     return _structured(record)
 
 
-def field_map(m: list[str]) -> Callable | None:
-    """Map of the positions of a template to fields, by its leading masked tokens; None if it begins no entry."""
-    m = m + [""] * DEPTH
-    if m[0] == "<OBJECT>":
-        return _object
-    if m[0] == "<KEY>=":
-        return _pairs
-    if m[0] == "<LEVEL>:<NAME>:":
-        return _labelled
-    if m[0] == "<PRI>V" and m[1] in ("<ISO>", "-") and m[5]:
-        return _syslog(True)
+class Layout(NamedTuple):
+    """Where the fields of a header stand: tokens of the timestamp, level and component, and the first of the message."""
+
+    kind: str
+    end: int
+    ts: tuple[int, int] | None = None
+    level: int | None = None
+    component: int | None = None
+
+
+_LEVELS, _BRACKETS = ("<LEVEL>", "[<LEVEL>]"), ("[<*>]", "[<LEVEL>]")
+#: Masks that stand for a time, and what may follow them as parts of it.
+_TIMES = (("<DATE>", "<TIME>"), ("<ISO>",), ("<DAY>", "<MON>", "<NUM>", "<TIME>", "<NUM>"), ("<MON>", "<NUM>", "<TIME>"))
+
+
+def _is_word(token: str) -> bool:
+    return not is_mask(token) and not _is_separator(token)
+
+
+def _is_separator(token: str) -> bool:
+    """Punctuation that is the same in all lines of a template."""
+    return token[:1] == "=" and not any(c.isalnum() for c in token)
+
+
+@lru_cache(maxsize=100_000)
+def branch(token: str) -> str:
+    """A word, whichever it is, is one branch; masks and punctuation are their own."""
+    return VARIES if _is_word(token) else token
+
+
+def _time_at(m: list[str], i: int) -> int:
+    """The number of tokens of the time that begins at a position; 0 if none does."""
+    return next((len(t) for t in _TIMES if tuple(m[i : i + len(t)]) == t), 0)
+
+
+def layout(template: list[str]) -> Layout | None:
+    """The position map of a merged template; None if it begins no entry.
+
+    Lines that describe themselves (objects, pairs, syslog, access lines) are told by their masks.  In all others a
+    header is a time, maybe after a level, then cells between separators, levels, process numbers, bracketed parts and names
+    that end with a colon, until a token is none of these; constant punctuation separates, words name.
+    """
+    m = [*template[:HEADER], *[""] * 7]
+    if m[0] in ("<OBJECT>", "<KEY>=", "<LEVEL>:<NAME>:"):
+        return Layout(m[0], 1)
+    if m[0] == "<PRI>V" and m[1] in ("<ISO>", "=-") and m[5]:
+        return Layout("<PRI>V", 6)
     if m[0] == "<PRI>MON" and m[1] == "<NUM>" and m[2] == "<TIME>" and m[4]:
-        return _syslog(False)
+        return Layout("<PRI>MON", 5)
     if m[3] == "<CLF>" or m[0] == "<IP>" and "<CLF>" in m:
-        return _access
-    n = 2 if m[0] == "<DATE>" and m[1] == "<TIME>" else 1 if m[0] == "<ISO>" else 0
+        return Layout("<CLF>", m.index("<CLF>") + 1)
+    first = int(m[0] in _LEVELS)
+    n = _time_at(m, first)
     if not n:
         return None
-    ts = (0, n - 1)
-    if m[n] == "[<LEVEL>]":
-        if m[n + 1] in ("[<*>]", "[<LEVEL>]"):
-            return _positions(ts, n, n + 1, n + 2)
-        return _positions(ts, n, None, n + 1 + (m[n + 1] == "<PIDTID>"))
-    if m[n] == "-" and m[n + 2] == "-":
-        if m[n + 3] == "<LEVEL>":
-            return _positions(ts, n + 3, n + 1, n + 5)
-        return _positions(ts, n + 1 if m[n + 1] == "<LEVEL>" else None, n + 3 if m[n + 1] == "<LEVEL>" else n + 1, n + 3)
-    if m[n] == "<LEVEL>":
-        if m[n + 1] == "<NUM>" and m[n + 2] == "---":
-            return _positions(ts, n, n + 4, n + 6)
-        if m[n + 1] == "[<*>]":
-            return _positions(ts, n, n + 1, n + 2)
-        return _positions(ts, n, n + 1 if m[n + 1] == "<NAME>:" else None, n + 1 + (m[n + 1] == "<NAME>:"))
-    if m[n] == "<NAME>:":
-        return _positions(ts, None, n, n + 1)
-    if m[n + 1] == "<LEVEL>":
-        return _positions(ts, n + 1, None, n + 2)
-    return _positions(ts, None, None, n)
+    level, component, i = (0 if first else None), None, first + n
+    while i < len(template[:HEADER]):
+        t, after, third = m[i : i + 3]
+        if level is None and t in _LEVELS:
+            level = i
+        elif _is_separator(t) and third == t:  # a cell between two separators
+            if level is None and after in _LEVELS:
+                level = i + 1
+            elif component is None and (_is_word(after) or after in _BRACKETS):
+                component = i + 1
+            i += 1
+            if m[i + 3] != t:  # no cell follows
+                i += 2
+                break
+        elif level is not None and t == "<NUM>" and _is_separator(after):  # a process number
+            i += 1
+        elif t in _BRACKETS and _is_word(after) and third == "=:":
+            component, i = i + 1, i + 3
+            break
+        elif t in _BRACKETS and level is not None:
+            component, i = i, i + 1
+            break
+        elif t == "<TAG>:" or t == "<NAME>:":
+            component, i = i, i + 1
+            break
+        elif t == "<PIDTID>":
+            i += 1
+            break
+        elif level is None and after in _LEVELS:  # an id, a thread or a host
+            pass
+        elif level is None and _is_word(t) and after == "<TAG>:":  # a host
+            component, i = i + 1, i + 2
+            break
+        else:
+            break
+        i += 1
+    return Layout("", i, (first, first + n - 1), level, component)
+
+
+_OWN = {
+    "<OBJECT>": _object, "<KEY>=": _pairs, "<LEVEL>:<NAME>:": _labelled, "<PRI>V": _syslog(True), "<PRI>MON": _syslog(False), "<CLF>": _access,
+}
+
+
+#: So many leading tokens tell a line that describes itself.
+_TELLING = {"<OBJECT>": 1, "<KEY>=": 1, "<LEVEL>:<NAME>:": 1, "<PRI>V": 2, "<PRI>MON": 3}
+
+
+def extract(line: str, at: Layout) -> Header | None:
+    """The fields of a line by the positions of its layout; None if it doesn't bear them."""
+    spans = [x.span() for x in islice(_TOKEN.finditer(line), at.end + 1)]
+    if at.kind:
+        if len(spans) < at.end:
+            return None
+        return _OWN[at.kind](line, spans)
+    return _positions(at.ts, at.level, at.component, at.end)(line, spans)
 
 
 class TemplateTree:
-    """Number of tokens -> leading masked tokens -> templates; the depth is fixed."""
+    """Number of tokens -> leading masked tokens -> structure of the header -> templates; the depth is fixed.
 
-    def __init__(self) -> None:
-        self.branches: dict[int, dict[tuple[str, ...], list[Template]]] = {}
+    Only words merge: where the masks of the header differ, lines have different layouts.
+    """
 
-    def route(self, tokens: list[str]) -> Template:
-        leaf = self.branches.setdefault(min(len(tokens), MOST_TOKENS), {}).setdefault(tuple(tokens[:DEPTH]), [])
+    def __init__(self) -> None:
+        self.leaves: dict[tuple, list[Template]] = {}
+        self.known: dict[tuple, Template] = {}
+
+    def add(self, tokens: list[str], lines: int = 1) -> Template:
+        """Route tokens to their leaf and merge them into the likest of its templates, or begin a new one."""
+        exact = tuple(tokens)
+        if found := self.known.get(exact):
+            found.lines += lines
+            return found
+        leaf = self.leaves.setdefault((len(tokens), *tokens[:DEPTH], *map(branch, tokens[DEPTH:HEADER])), [])
+        most, found = SIMILAR, None
         for template in leaf:
-            if template.likeness(tokens) >= SIMILAR:
-                template.merge(tokens)
-                return template
-        leaf.append(Template(tokens, field_map(tokens[:DEPTH])))
-        return leaf[-1]
+            likeness = template.likeness(tokens)
+            if likeness > most or (found is None and likeness == most):
+                most, found = likeness, template
+        if found is None:
+            found = Template(tokens)
+            leaf.append(found)
+        found.merge(tokens, lines)
+        if len(self.known) > 100_000:
+            self.known.clear()
+        self.known[exact] = found
+        return found
+
+    def learn(self, raw: str | None) -> None:
+        if line := header_line(raw):
+            self.add(masked(line, MOST_TOKENS))
+
+    def templates(self) -> Iterator[Template]:
+        return (t for leaf in self.leaves.values() for t in leaf)
+
+
+def header_line(raw: str | None) -> str | None:
+    """The cleaned line if it may begin an entry: it isn't empty and not indented."""
+    if not raw or raw[0] in " \t":
+        return None
+    line = clean_line(raw)
+    return line if line and line[0] not in " \t" else None
+
+
+class Layouts:
+    """The layouts of all templates as a trie over header tokens; a word, whichever it is, is one branch."""
+
+    def __init__(self, headers: Iterable[tuple[tuple[str, ...], Layout]]):
+        self.root: dict = {}
+        for tokens, at in headers:
+            node = self.root
+            for t in tokens:
+                node = node.setdefault(t, {})
+            node[None] = at
+        self.found: dict[tuple[str, ...], Layout | None] = {}
+
+    def find(self, line: str) -> Layout | None:
+        """The layout of the longest header that the line begins with."""
+        header = tuple(map(branch, masked(line, HEADER)))
+        if header not in self.found:
+            if len(self.found) > 100_000:
+                self.found.clear()
+            self.found[header] = self._longest(self.root, header, 0)[1]
+        return self.found[header]
+
+    def _longest(self, node: dict, header: tuple[str, ...], i: int) -> tuple[int, Layout | None]:
+        """(length, layout) of the longest header from a node; punctuation may also stand where words vary."""
+        best = (i, node[None]) if None in node else (-1, None)
+        if i < len(header):
+            for t in (header[i],) if is_mask(header[i]) else {header[i]: 0, VARIES: 0}:
+                if t in node:
+                    best = max(best, self._longest(node[t], header, i + 1), key=lambda x: x[0])
+        return best
 
     def parse(self, raw: str | None) -> Header | None:
         """Fields of a line that begins an entry; None for one that goes on, and for null."""
-        if not raw or raw[0] in " \t":
-            return None
-        line = clean_line(raw)
-        if not line or line[0] in " \t":
-            return None
-        spans = [x.span() for x in _TOKEN.finditer(line)]
-        tokens = [mask(line[a:b]) for a, b in spans[:DEPTH]] + ["<*>"] * (len(spans) - DEPTH)
-        fields = self.route(tokens).fields
-        return fields(line, spans) if fields else None
+        line = header_line(raw)
+        at = self.find(line) if line else None
+        return extract(line, at) if at else None
+
+
+def header_of(template: list[str]) -> tuple[tuple[str, ...], Layout] | None:
+    """The header of a merged template and its layout."""
+    at = layout(template)
+    return at and (tuple(branch(t) for t in template[: _TELLING.get(at.kind, at.end)]), at)
+
+
+TEMPLATES = "leaf STRING, tokens ARRAY<STRING>, lines BIGINT, merges BIGINT"
+_TEMPLATES_ARROW = pa.schema([("leaf", pa.string()), ("tokens", pa.list_(pa.string())), ("lines", pa.int64()), ("merges", pa.int64())])
+
+
+def _template_rows(tree: TemplateTree) -> pa.RecordBatch:
+    rows = [("\x01".join([str(len(t.tokens)), *t.tokens[:DEPTH]]), t.tokens, t.lines, t.merges) for t in tree.templates()]
+    columns = list(zip(*rows)) if rows else [()] * len(_TEMPLATES_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TEMPLATES_ARROW)], schema=_TEMPLATES_ARROW)
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tree = TemplateTree()
+    for b in batches:
+        for raw in b["raw"].to_pylist():
+            tree.learn(raw)
+    yield _template_rows(tree)
+
+
+def _merge_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole leaves of the trees of all partitions, merged into one tree."""
+    tree = TemplateTree()
+    for b in batches:
+        for tokens, lines, merges in zip(b["tokens"].to_pylist(), b["lines"].to_pylist(), b["merges"].to_pylist()):
+            tree.add(tokens, lines).merges += merges
+    yield _template_rows(tree)
+
+
+def learn_templates(lines: DataFrame) -> DataFrame:
+    """(leaf, tokens, lines, merges): the one tree of all lines, its leaves merged over the partitions.
+
+    Within a leaf the templates of most lines come first, so that the result doesn't depend on the order of partitions.
+    """
+    grown = lines.select("raw").mapInArrow(_grow, TEMPLATES)
+    return grown.repartition("leaf").sortWithinPartitions("leaf", F.desc("lines"), "tokens").mapInArrow(_merge_leaves, TEMPLATES)
+
+
+_HEADERS = "tokens ARRAY<STRING>, kind STRING, ends INT, ts ARRAY<INT>, level INT, component INT"
+
+
+def _header_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.list_(pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+    names = ["tokens", "kind", "ends", "ts", "level", "component"]
+    for b in batches:
+        found = {h for t in b["tokens"].to_pylist() if (h := header_of(t))}
+        columns = list(zip(*((list(tokens), at.kind, at.end, at.ts and list(at.ts), at.level, at.component) for tokens, at in found))) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+def learn_layouts(lines: DataFrame) -> Layouts:
+    """The layouts of all headers that occur; sequences of masks, of which there are few however many lines there are."""
+    rows = learn_templates(lines).mapInArrow(_header_rows, _HEADERS).distinct().collect()
+    return Layouts(
+        (tuple(r["tokens"]), Layout(r["kind"], r["ends"], r["ts"] and tuple(r["ts"]), r["level"], r["component"])) for r in rows
+    )
 
 
 PARSED = "chunk INT, grp BIGINT, no BIGINT, key BIGINT, t BIGINT, tag STRING"
@@ -290,20 +508,22 @@ _PARSED_ARROW = pa.schema(
 )
 
 
-def _parse_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree = TemplateTree()
-    for b in batches:
-        heads = [tree.parse(x) for x in b["raw"].to_pylist()]
-        ids, places = b["line_id"].to_pylist(), b["no"].to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                b["chunk"], b["grp"], b["no"],
-                pa.array([GOES_ON if h is None else abs(n) for h, n in zip(heads, places)], pa.int64()),
-                pa.nulls(b.num_rows, pa.int64()),
-                pa.array([None if h is None else json.dumps([i, *h]) for h, i in zip(heads, ids)], pa.string()),
-            ],
-            schema=_PARSED_ARROW,
-        )
+def _parse_lines(layouts: Layouts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [layouts.parse(x) for x in b["raw"].to_pylist()]
+            ids, places = b["line_id"].to_pylist(), b["no"].to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b["chunk"], b["grp"], b["no"],
+                    pa.array([GOES_ON if h is None else abs(n) for h, n in zip(heads, places)], pa.int64()),
+                    pa.nulls(b.num_rows, pa.int64()),
+                    pa.array([None if h is None else json.dumps([i, *h]) for h, i in zip(heads, ids)], pa.string()),
+                ],
+                schema=_PARSED_ARROW,
+            )
+
+    return parse
 
 
 def entries_of_lines(lines: DataFrame) -> DataFrame:
@@ -318,7 +538,7 @@ def entries_of_lines(lines: DataFrame) -> DataFrame:
     placed = lines.where("file_id IS NOT NULL AND line_no IS NOT NULL").select(
         F.col("file_id").cast("bigint").alias("grp"), F.col("line_no").cast("bigint").alias("no"), "line_id", "raw"
     )
-    parsed = by_ranges(placed, "grp", "no", "line_id").mapInArrow(_parse_lines, PARSED)
+    parsed = by_ranges(placed, "grp", "no", "line_id").mapInArrow(_parse_lines(learn_layouts(lines)), PARSED)
     runs = runs_in_order(parsed).where(F.col("key") != GOES_ON)
     head = F.from_json("tag", "ARRAY<STRING>")
     return runs.withColumn("_tl_head", head).select(
