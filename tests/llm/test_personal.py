@@ -37,6 +37,13 @@ FINDER = Finder(NAMES)
         ("Bramwick Relay joined, MARLOW GATEWAY IS DRAINING, test.marlow.Job marlow-1.test", "Bramwick Relay joined, MARLOW GATEWAY IS DRAINING, test.marlow.Job marlow-1.test"),
         ("Null customer reference in TokenClient", "Null customer reference in TokenClient"),
         ("sunniva.marlow@mail.test", "<EMAIL>"),
+        ("bob[@]example.com, jörg@web.de, user@münchen.de", "<EMAIL>, <EMAIL>, <EMAIL>"),
+        ("call 020 7946 0958 or tel 01 44 55 66 77", "call <PHONE> or tel <PHONE>"),
+        ("passport QQ 12 34 56 C, then", "passport <ID_NUMBER>, then"),
+        ("in Calle Mayor 5, 28013 Madrid", "in <ADDRESS>"),
+        ("assigned to Zoltan Kovacs; refund for Ada Byron", "assigned to <NAME>; refund for <NAME>"),
+        ("GET /health?name=Verrine+Thackerby HTTP", "GET /health?name=<NAME> HTTP"),
+        ("moved to Kelvar Gateway, sent by CartClient", "moved to Kelvar Gateway, sent by CartClient"),
         ("", ""),
     ],
 )
@@ -56,6 +63,10 @@ def test_operator_and_edges(spark):
     got = sorted(tuple(r) for r in personal_data(df, names).collect())
     assert got == [(1, "extra", "name"), (1, "extra", "phone"), (1, "message", "email"), (1, "message", "email"), (3, "raw", "email")]
     out = {(r.entry_id, r.message): r.extra for r in redacted_entries(df.where("entry_id < 3"), names).collect()}
-    assert out == {(1, "<EMAIL>"): None, (2, None): {}} or {"x": None, "agent": "<NAME>", "y": "call <PHONE>"} in out.values()
+    assert set(out) == {(1, "<EMAIL>"), (2, None)} and out[2, None] == {}
+    (extra,) = [r.extra for r in redacted_entries(df.where("entry_id = 1 AND extra IS NOT NULL"), names).collect()]
+    assert extra == {"x": None, "agent": "<NAME>", "y": "call <PHONE>"}
     assert personal_data(df.where("false"), names).count() == 0
+    one = spark.createDataFrame([(7, None, None, {"a@b.example": "ok", "who": "Bramwick, Hestia", "x": "a\x01b@c.example"})], df.drop("field").schema)
+    assert sorted(tuple(r) for r in personal_data(one, names).collect()) == [(7, "extra", "email"), (7, "extra", "name")]
     assert personal_data(df, names.where("false")).count() == 5

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 TYPES = ("email", "phone", "id_number", "address", "name")
 
 # Anchors in folded text, by the parser that expands them.
-AT_SIGNS = ("@", "%40", "&#64;", "&#x40;", "&commat;", "\\u0040", "[at]", "(at)", "{at}", "<at>", " at ", "＠")
-PHONE_SHAPES = ("+0", "(000)", "(00000)", "000-000-0000", "000.000.0000", "000 000 0000", "0000-00-00", "00000 000 000", "00000 000000", "tel:")
+AT_SIGNS = ("@", "%40", "&#64;", "&#x40;", "&commat;", "\\u0040", "[at]", "(at)", "{at}", "<at>", " at ", "[@]", "(@)", "{@}", "＠")
+PHONE_SHAPES = ("+0", "(000)", "(00000)", "000-000-0000", "000.000.0000", "000 000 0000", "0000-00-00", "00000 000 000", "00000 000000", "000 0000 0000", "00 00 00 00 00", "00.00.00.00.00", "tel:")
 ID_CUES = (
     "ssn", "social security", "national id", "identity card", "id card", "personalausweis", "passport", "reisepass", "licence",
     "license", "führerschein", "tax number", "tax id", "tax no", "steuer-id", "steuernummer", "steuer id", "national insurance",
@@ -29,12 +29,17 @@ ID_CUES = (
 STREET_CUES = (
     " street", " st", " avenue", " ave", " close", " lane", " road", " rd", " blvd", " boulevard", " terrace", " drive", " court",
     " crescent", " square", " place", " way", " rue ", "rue ", "p.o. box", "po box", "p.o.box", "postfach", "weg 0", "gasse 0",
-    "straße 0", "strasse 0", "str. 0", "allee 0", "platz 0", "avenue de", "boulevard de", "calle ",
+    "straße 0", "strasse 0", "str. 0", "allee 0", "platz 0", "avenue de", "boulevard de", "calle ", "avenida ", "plaza ", "paseo ", "piazza ", "rua ",
 )
 PERSON_CUES = (
-    "ticket to ", "signed by ", "ms ", "mr ", "mrs ", "ms. ", "mr. ", "mrs. ", "dr. ", "herr ", "frau ", "mme ", "name is ", "customer ",
-    "beneficiary ", "failed for ", "copy for ", "dear ", "customer\x02", "agent\x02", "customer\"", "agent\"", "holder ", "patient ",
+    "ms ", "mr ", "mrs ", "ms. ", "mr. ", "mrs. ", "dr. ", "prof. ", "herr ", "frau ", "mme ", "señor ", "señora ", "signor ", "name is ", "named ", "dear ",
+    "customer ", "beneficiary ", "holder ", "patient ", "employee ", "contact ", "owner ", "tenant ", "attendee ", "recipient ", "applicant ", "client ",
+    "customer\x02", "agent\x02", "owner\x02", "contact\x02", "name\x02", "customer\"", "agent\"", "name=",
+    " by ", " for ", " to ", " with ",
 )
+# Prepositions that introduce a person only after a participle or a word of the second list.
+PREPOSITIONS = (" by ", " for ", " to ", " with ")
+GOES_TO_PERSONS = ("ticket", "copy", "letter", "invoice", "message", "call", "card", "parcel", "refund", "appointment", "account", "reminder")
 # Words that stand in capitals next to names, or in the place of one, without being a part of it.
 NOT_NAMES = frozenset(
     """the and for from has was with not new old reference relay gateway scheduler index service server client handler controller
@@ -48,9 +53,13 @@ _FOLD = str.maketrans("123456789", "000000000")
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _LOCAL = r"[A-Za-z0-9!#$&'*+/=?^_`{|}~.-]"
 
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+#: Longest local part and domain of an address, the latter with room for its disguise.
+MOST_LOCAL, MOST_DOMAIN = 64, 400
+#: Characters on either side of a street word that an address can reach.
+STREET_REACH = 120
+_LABEL = r"[^\W_](?:(?:[^\W_]|-)*[^\W_])?"
 _DOT = r"(?:\.|\s*[\[({]\s*(?i:dot|punkt|point)\s*[\])}]\s*)"
-_LOCAL_END = re.compile(r"[A-Za-z0-9][A-Za-z0-9.!#$'*_+~-]*$")
+_LOCAL_END = re.compile(r"[^\W_][\w.!#$'*+~-]*$")
 _DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
 _SPOKEN = re.compile(rf"{_LABEL}(?: (?i:dot) {_LABEL})* (?i:dot) [A-Za-z]{{2,24}}(?![A-Za-z0-9])")
 
@@ -67,11 +76,13 @@ _PHONES = [
         r"(?<!\d )\d{3} \d{3} \d{4}",
         r"\(0\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}",
         r"0\d{4}[ -]\d{3}[ -]?\d{3}",
+        r"0\d{2} \d{4} \d{4}",
+        r"0[1-9](?:([ .])\d{2})(?:\1\d{2}){3}",
     )
 ]
 _ID_VALUE = re.compile(
     r"(?:\s*(?:(?:no|nr|number|num|nummer|id|card|is)(?![A-Za-z0-9])\.?|[#:=\"'])){0,5}\s*"
-    r"((?:[A-Z]{1,6}[ -]?)?\d(?:[ .\-/]?\d|[A-Z](?=\d|[^A-Z0-9]|$)){4,17})(?![A-Za-z0-9])",
+    r"((?:[A-Z]{1,6}[ -]?)?\d(?:[ .\-/]?\d|[A-Z](?=\d|[^A-Z0-9]|$)){4,17}(?: (?-i:[A-Z])(?![A-Za-z0-9.]))?)(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
 _SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|[.-]\w)")
@@ -90,6 +101,8 @@ _STREETS = [
         rf"(?:, \d{{4,5}} {_CAP}(?: {_CAP})?)?",
         # Birkenweg 58, 20199 Quarrytown
         rf"\b({_CAP}(?i:weg|gasse|straße|strasse|str\.|allee|platz)) {{1,3}}\d{{1,4}}[a-z]?\b(?:, \d{{4,5}} {_CAP}(?: {_CAP})?)?",
+        # Calle Mayor 5, 28013 Madrid
+        rf"\b((?i:calle|avenida|plaza|paseo|piazza|via|rua) (?:(?:de la|de|del|da|do|della) )?{_CAP}(?: {_CAP}){{0,3}}),? {{1,3}}\d{{1,4}}[a-z]?\b(?:, \d{{4,5}} {_CAP}(?: {_CAP})?)?",
         # P.O. Box 663, Neu-Brachen
         rf"\b((?i:p\.? ?o\.? ?box|postfach)) {{1,3}}\d+(?:, {_CAP}(?: {_CAP})?)?",
     )
@@ -101,6 +114,9 @@ _AFTER_CUE = re.compile(
     rf"(?:\s*[:=]?\s*\"?\s*)(?:(?i:ms|mr|mrs|dr|herr|frau|mme)\.? {{1,3}})?"
     rf"(?:({_CAP}),? {{1,3}}(?:[A-Z]\. {{1,3}})?({_CAP})|([A-Z])\. {{1,3}}({_CAP}))(?![\w-])"
 )
+_AFTER_QUERY = re.compile(rf"({_CAP})(?:\+|%20)(?:[A-Z]\.?(?:\+|%20))?({_CAP})(?![\w+%-])")
+_WHOLE_NAME = re.compile(rf"\s*({_CAP}), ({_CAP})(?: [A-Z]\.?)?\s*")
+_BEFORE_PREPOSITION = re.compile(rf"(?:[a-z]{{2,}}ed|sent|paid|{'|'.join(GOES_TO_PERSONS)})$", re.IGNORECASE)
 _AFTER_CUE_LOW = re.compile(rf" {{0,3}}({_WORD}) {{1,3}}({_WORD})(?![\w-])")
 
 
@@ -115,19 +131,20 @@ def fold(text: str) -> str:
 def parse_email(text: str, start: int, end: int, anchor: str) -> tuple[int, int] | None:
     """An address around an at-sign; null local parts, bare hosts and user parts of URLs are none."""
     spoken = anchor[0] in "[({< "
-    left, right = text[max(0, start - 80) : start], text[end : end + 160]
+    low = max(0, start - MOST_LOCAL - 4)
+    left, right = text[low:start], text[end : end + MOST_DOMAIN]
     if spoken and anchor != " at ":
         left, right = left.rstrip(), right.lstrip()
     elif "0" in anchor and text[start:end].lower() not in AT_SIGNS:
         return None
     local = _LOCAL_END.search(left)
     domain = (_SPOKEN if anchor == " at " else _DOMAIN).match(right)
-    if not local or not domain:
+    if not local or not domain or len(local.group()) > MOST_LOCAL:
         return None
-    begin = max(0, start - 80) + local.start()
+    begin = low + local.start()
     if text[max(0, begin - 3) : begin] == "://" or (begin and text[begin - 1] == ":" and "://" in text[max(0, begin - 24) : begin]):
         return None
-    skipped = len(text[end : end + 160]) - len(right)
+    skipped = len(text[end : end + MOST_DOMAIN]) - len(right)
     return begin, end + skipped + domain.end()
 
 
@@ -159,8 +176,8 @@ def parse_id(text: str, start: int, end: int, cue: str) -> tuple[int, int] | Non
 
 def parse_address(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Postal addresses around a street word: house number and street, or a box."""
-    base, out = max(0, start - 48), []
-    window = text[base : end + 48]
+    base, out = max(0, start - STREET_REACH), []
+    window = text[base : end + STREET_REACH]
     for rx in _STREETS:
         for m in rx.finditer(window):
             words = m.group(1).split()
@@ -203,7 +220,7 @@ def parse_name(text: str, start: int, end: int, kinds: Callable[[str], set]) ->
             tail = text[right.end(3) : right.end(3) + 2]
             left = _LEFT.search(text[max(0, start - 40) : start])
             known_before = left and (kinds(left.group(1)) or len(left.group(1)) == 1)
-            if not known_before and not tail[:1].isalnum() and _introduced(text, start):
+            if not known_before and not tail[:1].isalnum() and (_introduced(text, start) or _quoted(text, start, right.end(3))):
                 return start, right.end(3)
     left_text = text[max(0, start - 40) : start]
     left = _LEFT.search(left_text)
@@ -216,7 +233,7 @@ def parse_name(text: str, start: int, end: int, kinds: Callable[[str], set]) ->
                 if _free(text, begin, begin + 1) or not text[begin - 1 : begin].isalnum():
                     return begin, end
         elif gap.startswith(",") and "given" in own and _is_capital(word) and _free(text, begin, begin + len(word)):
-            if _introduced(text, begin):
+            if _introduced(text, begin) or _quoted(text, begin, end):
                 return begin, end
         elif not gap.strip() and "family" in own and _is_capital(word) and len(word) > 3 and not follows:
             if _free(text, begin, begin + len(word)):
@@ -229,14 +246,23 @@ def _introduced(text: str, start: int) -> bool:
     return fold(text[max(0, start - 16) : start]).rstrip(' ":').endswith(_CUE_ENDS)
 
 
+def _quoted(text: str, start: int, end: int) -> bool:
+    """Whether [start, end) is all that stands between two quotes."""
+    return text[start - 1 : start] == '"' == text[end : end + 1]
+
+
 _CUE_ENDS = tuple(sorted({c.rstrip(' "\x02') for c in PERSON_CUES}))
 
 
 def parse_introduced(text: str, start: int, end: int, cue: str) -> tuple[int, int] | None:
     """A name after a word that introduces a person."""
-    if start and text[start - 1].isalnum():
+    if start and text[start - 1].isalnum() and cue not in PREPOSITIONS:
+        return None
+    if cue in PREPOSITIONS and not _BEFORE_PREPOSITION.search(text[max(0, start - 16) : start]):
         return None
-    if cue == "name is ":
+    if cue == "name=":
+        m = _AFTER_QUERY.match(text, end)
+    elif cue == "name is ":
         m = _AFTER_CUE.match(text, end) or _AFTER_CUE_LOW.match(text, end)
     else:
         m = _AFTER_CUE.match(text, end)
@@ -245,6 +271,8 @@ def parse_introduced(text: str, start: int, end: int, cue: str) -> tuple[int, in
     words = [w for w in m.groups() if w and len(w) > 1]
     if any(w.lower() in NOT_NAMES or re.search(r"[a-z][A-Z]", w) for w in words):
         return None
+    if cue in (*PREPOSITIONS, "tenant ", "owner ", "client ") and any(w.isupper() for w in words):
+        return None  # in a line of capitals every word looks like a name
     return min(m.start(i) for i in range(1, len(m.groups()) + 1) if m.group(i)), m.end()
 
 
@@ -298,10 +326,19 @@ class Finder:
             out = {x for x in out if x[2] != "phone" or not any(a < x[1] and x[0] < b for a, b in ids)}
         return sorted(out)
 
-    def redact(self, text: str) -> str:
+    def spans_of_value(self, key: str, value: str) -> list[tuple[int, int, str]]:
+        """What is found in a value; its key is context only.  A value may be nothing but a name."""
+        offset = len(key) + 1
+        out = [(a - offset, z - offset, t) for a, z, t in self.spans(f"{key}{_VALUE_MARK}{value}") if a >= offset]
+        whole = _WHOLE_NAME.fullmatch(value)
+        if whole and (self.known(whole[1]) or self.known(whole[2])):
+            out.append((whole.start(1), len(value.rstrip()), "name"))
+        return out
+
+    def redact(self, text: str, spans: list[tuple[int, int, str]] | None = None) -> str:
         """``text`` with ``<EMAIL>``, ``<PHONE>``, ``<ID_NUMBER>``, ``<ADDRESS>`` and ``<NAME>`` for what was found."""
         out, at = [], 0
-        for start, end, kind in sorted(self.spans(text), key=lambda x: (x[0], -x[1])):
+        for start, end, kind in sorted(self.spans(text) if spans is None else spans, key=lambda x: (x[0], -x[1])):
             if start >= at:
                 out += [text[at:start], f"<{kind.upper()}>"]
                 at = end
@@ -320,7 +357,7 @@ def finder(names: tuple[tuple[str, str], ...]) -> Finder:
 
 #: Most name parts that go to the workers; a longer list is an error, as nothing may be dropped silently.
 MOST_NAME_PARTS = 1_000_000
-_VALUE_MARK, _VALUE_END = "\x02", "\x01"
+_VALUE_MARK = "\x02"
 FOUND = "entry_id BIGINT, field STRING, pii_type STRING"
 
 
@@ -332,13 +369,6 @@ def name_parts(names: DataFrame) -> tuple[tuple[str, str], ...]:
     return tuple(sorted((r[0].strip(), (r[1] or "").lower()) for r in rows))
 
 
-def _texts(entries: DataFrame) -> DataFrame:
-    pairs = F.transform(
-        F.map_entries("extra"), lambda x: F.concat(x["key"], F.lit(_VALUE_MARK), F.coalesce(x["value"], F.lit("")))
-    )
-    return entries.select("entry_id", "message", "raw", F.array_join(pairs, _VALUE_END).alias("extra"))
-
-
 def personal_data(entries: DataFrame, names: DataFrame) -> DataFrame:
     """(entry_id, field, pii_type): one row for each entry, field and type found there at least once.
 
@@ -357,14 +387,14 @@ def personal_data(entries: DataFrame, names: DataFrame) -> DataFrame:
                 for entry_id, text in zip(entry_ids, b[field].to_pylist()):
                     if not text:
                         continue
-                    found = {t for part in text.split(_VALUE_END) for _, _, t in f.spans(part)} if field == "extra" else {t for _, _, t in f.spans(text)}
+                    found = {t for k, v in text if v for _, _, t in f.spans_of_value(k, v)} if field == "extra" else {t for _, _, t in f.spans(text)}
                     for t in sorted(found):
                         ids.append(entry_id)
                         fields.append(field)
                         types.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(types, pa.string())], names=["entry_id", "field", "pii_type"])
 
-    return _texts(entries).mapInArrow(find, FOUND)
+    return entries.select("entry_id", "message", "raw", "extra").mapInArrow(find, FOUND)
 
 
 REDACTED = "entry_id BIGINT, message STRING, raw STRING, extra MAP<STRING,STRING>"
@@ -379,7 +409,7 @@ def redacted_entries(entries: DataFrame, names: DataFrame) -> DataFrame:
         for b in batches:
             texts = [pa.array([t and f.redact(t) for t in b[c].to_pylist()], pa.string()) for c in ("message", "raw")]
             extra = [
-                None if m is None else [(k, v and f.redact(f"{k}{_VALUE_MARK}{v}").partition(_VALUE_MARK)[2]) for k, v in m]
+                None if m is None else [(k, v and f.redact(v, f.spans_of_value(k, v))) for k, v in m]
                 for m in b["extra"].to_pylist()
             ]
             extra = pa.array(extra, pa.map_(pa.string(), pa.string()))
