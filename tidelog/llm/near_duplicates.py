@@ -16,15 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import cut
+from tidelog.session import cut, small_side
 
 TREES = 96
 DEEPEST = 4
 DEPTH_ALL = 6
 TARGET_RECALL = 0.999
+#: Similarity from which depths and sketch places below are safe.
+LEAST_THRESHOLD = 0.7
 #: Members of a bucket that one task compares at a time; larger buckets are compared block by block.
 BLOCK = 512
 #: Share of the texts from which a word is frequent, and the most frequent words there can be.
@@ -275,21 +277,24 @@ PAIR = "kind STRING, a BIGINT, b BIGINT"
 def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """(kind, a, b): pairs of classes of at least the similarity, a < b.
 
-    ``classes``: kind, cls, words (distinct 64-bit hashes); already cut, as it is read several times.
+    ``classes``: kind, cls, words (distinct 64-bit hashes); already cut, as it is read several times.  The target recall
+    of the forest and of the sketches holds from ``LEAST_THRESHOLD`` on; a lower threshold is an error.
     """
+    if threshold < LEAST_THRESHOLD:
+        raise ValueError(f"the forest reaches its recall from a similarity of {LEAST_THRESHOLD} on")
     n, n_words = classes.agg(F.count("*"), F.sum(F.size("words"))).first()
     frequent = frequent_words(classes, n, n_words) if n else frozenset()
     counted = classes.mapInArrow(_own_depths(frequent, threshold), "depth INT, n BIGINT").groupBy("depth").agg(F.sum("n"))
     depths = {depth: count for depth, count in counted.collect()}
     deeper, levels = filed_levels(depths)
-    forest = classes.mapInArrow(
-        _emit(frequent, threshold, levels, 0 in depths), "bucket BIGINT, kind STRING, cls BIGINT, mark INT, sketch BINARY"
+    forest = cut(
+        classes.mapInArrow(_emit(frequent, threshold, levels, 0 in depths), "bucket BIGINT, kind STRING, cls BIGINT, mark INT, sketch BINARY")
     )
-    bucket = Window.partitionBy("kind", "bucket")
-    forest = forest.withColumn("members", F.count("*").over(bucket)).where("members > 1")
-    small = forest.where(F.col("members") <= BLOCK).select("kind", "bucket", "cls", "mark", "sketch")
+    # counted with partial sums before the shuffle, so that a hot bucket never stands in one task
+    hot = small_side(cut(forest.groupBy("kind", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)))
+    small = forest.join(hot, ["kind", "bucket"], "left_anti").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    large = forest.where(F.col("members") > BLOCK)
+    large = forest.join(hot, ["kind", "bucket"])
     large = large.withColumn("part", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         "kind", "bucket", "cls", "mark", "sketch", "part",
