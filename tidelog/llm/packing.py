@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,48 +30,48 @@ ITEMS_OF_RANGE = 500_000
 MOST_SIZES = 1000
 
 
-def hilbert_key(point: list[int], bits: int = BITS) -> int:
-    """Place of a grid point on the Hilbert curve (transposed Gray code)."""
-    x, n = list(point), len(point)
+def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places of grid points, one a row, on the Hilbert curve (transposed Gray code)."""
+    x = [points[:, i].astype(np.int64) for i in range(points.shape[1])]
+    n = len(x)
     q = 1 << (bits - 1)
     while q > 1:
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= q - 1
-            else:
-                t = (x[0] ^ x[i]) & (q - 1)
-                x[0] ^= t
-                x[i] ^= t
+            high = (x[i] & q) > 0
+            t = np.where(high, 0, (x[0] ^ x[i]) & (q - 1))
+            x[0] = np.where(high, x[0] ^ (q - 1), x[0] ^ t)
+            if i:
+                x[i] = x[i] ^ t
         q >>= 1
     for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+        x[i] = x[i] ^ x[i - 1]
+    t, q = np.zeros_like(x[0]), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        t = np.where((x[n - 1] & q) > 0, t ^ (q - 1), t)
         q >>= 1
-    key = 0
+    key = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for i in range(n):
             key = key << 1 | ((x[i] ^ t) >> b & 1)
     return key
 
 
-def project(ids: np.ndarray) -> list[int]:
-    """Grid point of a document: its token counts under hashed random signs, scaled by their norm."""
-    if not len(ids):
-        return [0] * DIMENSIONS
-    tokens, counts = np.unique(ids, return_counts=True)
-    mixed = tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def project(texts: list[list[int]]) -> np.ndarray:
+    """Grid points of texts: their token counts under hashed random signs, scaled by their norm; zero for empty ones."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    pairs = np.repeat(np.arange(len(texts), dtype=np.int64), lengths) << 32 | np.fromiter(chain.from_iterable(texts), np.int64, int(lengths.sum()))
+    pairs, counts = np.unique(pairs, return_counts=True)
+    doc = pairs >> 32
+    mixed = (pairs & 0xFFFFFFFF).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     weight = np.log1p(counts)
-    norm = float(np.sqrt((weight**2).sum()))
-    out = []
+    norm = np.sqrt(np.bincount(doc, weight**2, len(texts)))
+    out = np.zeros((len(texts), DIMENSIONS), np.int64)
     for d in range(DIMENSIONS):
         sign = ((mixed >> np.uint64(40 + d)) & np.uint64(1)).astype(np.int64) * 2 - 1
-        z = float((weight * sign).sum()) / norm  # about standard normal
-        out.append(min((1 << BITS) - 1, max(0, int((z + 4) / 8 * (1 << BITS)))))
+        z = np.bincount(doc, weight * sign, len(texts)) / np.where(norm > 0, norm, 1.0)  # about standard normal
+        out[:, d] = np.where(lengths > 0, np.clip((z + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1), 0)
     return out
 
 
@@ -80,9 +81,9 @@ def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for b in batches:
-            ids = [np.array(e.encode(t), np.int64) for t in b["text"].to_pylist()]
+            ids = [e.encode(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([hilbert_key(project(x)) for x in ids], pa.int64())],
+                [b["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(hilbert_keys(project(ids)), pa.int64())],
                 names=["doc_id", "n_tokens", "curve"],
             )
 
