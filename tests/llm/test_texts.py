@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import reading as rd
-from tidelog.llm.packing import _pack, best_fit, fill, hilbert_key, packed
+import numpy as np
+
+from tidelog.llm.packing import _pack, best_fit, fill, hilbert_keys, packed
 from tidelog.llm.tokens import SPLIT, VOCABULARY, RankQueue, encoder, token_ids
 
 needs_vocabulary = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary file")
@@ -47,7 +49,8 @@ def test_ids_edges(spark):
 
 def test_hilbert_neighbours_touch():
     n = 4
-    cells = sorted((hilbert_key([x, y, z], 2), (x, y, z)) for x in range(n) for y in range(n) for z in range(n))
+    grid = [(x, y, z) for x in range(n) for y in range(n) for z in range(n)]
+    cells = sorted(zip(hilbert_keys(np.array(grid), 2).tolist(), grid))
     assert [k for k, _ in cells] == list(range(n**3))
     assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for (_, p), (_, q) in zip(cells, cells[1:]))
 
@@ -141,7 +144,7 @@ def test_graded_posts_are_read_to_their_end(spark):
     graded = rd.graded_texts(documents, judged)
     posts = rd.graded_posts(graded)
     assert [p.n for p in posts] == [120] * 90
-    xs = rd.post_features(docs[7][1])[1]
+    xs = rd.features(rd.sentences(rd.own_text(docs[7][1])))
     assert abs(posts[7].sums - sum(x.astype(float) for x in xs)).max() < 1e-6
     assert len(rd.drawn_sentences(graded, 1.0).x) == 90 * 120
     got = {r.doc_id: r.band for r in rd.reading_bands(documents, judged).collect()}

@@ -12,7 +12,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 from zlib import crc32
 
@@ -136,34 +136,60 @@ def sentences(text: str) -> list[tuple[list[str], int, bool]]:
 
 
 N_FEATURES = 10 + VOCABULARY_BUCKETS
-
-
-@lru_cache(maxsize=50_000)
-def _word(w: str) -> tuple[int, float, int, int, int, int]:
-    """Letters, their logarithm, vowel groups, link, "and" and bucket of a word."""
-    return len(w), math.log(len(w)), max(1, len(_VOWELS.findall(w))), w in LINKS, w == "and", 10 + crc32(w.encode()) % VOCABULARY_BUCKETS
-
-
-def features(words: list[str], commas: int) -> np.ndarray:
-    """Syntax and vocabulary of one sentence, as rates a word."""
-    n = len(words)
-    sizes, logs, vowels, links, ands, buckets = zip(*map(_word, words))
-    x = np.zeros(N_FEATURES, np.float32)
-    x[:10] = (
-        sum(sizes) / n, sum(logs) / n, sum(s >= 7 for s in sizes) / n, sum(s >= 10 for s in sizes) / n, sum(s <= 3 for s in sizes) / n, max(sizes),
-        sum(vowels) / n, commas / n, sum(links) / n, sum(ands) / n,
-    )
-    for b in buckets:
-        x[b] += 1 / n
+#: Sentences whose features stand in memory at a time.
+SENTENCES_AT_ONCE = 2000
+
+
+def _word(w: str) -> tuple[float, ...]:
+    """Letters, their logarithm, whether they are many, very many, few, vowel groups, link, "and", and bucket of a word."""
+    n = len(w)
+    return n, math.log(n), n >= 7, n >= 10, n <= 3, max(1, len(_VOWELS.findall(w))), w in LINKS, w == "and", crc32(w.encode()) % VOCABULARY_BUCKETS
+
+
+class _Words:
+    """What is known of the words met so far, as rows of one table; it begins anew when it is full."""
+
+    MOST = 100_000
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((self.MOST, 9))
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) + len(words) > self.MOST:
+            self.rows.clear()
+            if len(words) > self.MOST:
+                return np.array([_word(w) for w in words], float)
+        rows = self.rows
+        for w in words:
+            if w not in rows:
+                self.table[len(rows)] = _word(w)
+                rows[w] = len(rows)
+        return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
+
+
+_words = _Words()
+
+
+def features(found: list[tuple[list[str], int, bool]]) -> np.ndarray:
+    """Syntax and vocabulary of sentences, one a row, as rates a word."""
+    if not found:
+        return np.zeros((0, N_FEATURES), np.float32)
+    n = np.array([len(words) for words, _, _ in found])
+    known = _words.look_up(list(chain.from_iterable(words for words, _, _ in found)))
+    begins = np.cumsum(n) - n
+    rates = np.add.reduceat(known[:, :8], begins, axis=0) / n[:, None]
+    x = np.empty((len(found), N_FEATURES), np.float32)
+    x[:, :5] = rates[:, :5]
+    x[:, 5] = np.maximum.reduceat(known[:, 0], begins)
+    x[:, 6] = rates[:, 5]
+    x[:, 7] = np.array([commas for _, commas, _ in found]) / n
+    x[:, 8:10] = rates[:, 6:8]
+    places = np.repeat(np.arange(len(found)) * VOCABULARY_BUCKETS, n) + known[:, 8].astype(np.int64)
+    x[:, 10:] = np.bincount(places, minlength=len(found) * VOCABULARY_BUCKETS).reshape(len(found), -1) / n[:, None]
     return x
 
 
-def post_features(text: str | None) -> tuple[int, list[np.ndarray], list[tuple[int, bool]]]:
-    """(own words, features by sentence, (words, whole) by sentence) of a post."""
-    found = sentences(own_text(text or ""))
-    return sum(len(w) for w, _, _ in found), [features(w, c) for w, c, _ in found], [(len(w), whole) for w, _, whole in found]
-
-
 class Ranker:
     """Weights of the linear score, its cuts between bands, and the words of an average sentence of each band."""
 
@@ -174,12 +200,16 @@ class Ranker:
     def score(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights - self.offset
 
-    def band(self, xs: list[np.ndarray], sizes: list[tuple[int, bool]]) -> int:
-        """The band of most sentences; windows count as the part of an average sentence that they are."""
-        votes = [0.0, 0.0, 0.0]
-        for k, (n, whole) in zip(np.searchsorted(self.cuts, self.score(np.array(xs))), sizes):
-            votes[k] += 1.0 if whole else n / self.lengths[k]
-        return BANDS[int(np.argmax(votes))]
+    def bands(self, posts: list[list[tuple[list[str], int, bool]]]) -> list[int]:
+        """The band of most sentences of each post; windows count as the part of an average sentence that they are."""
+        all_of = iter(np.searchsorted(self.cuts, self.score(features(list(chain.from_iterable(posts))))).tolist())
+        out = []
+        for found in posts:
+            votes = [0.0, 0.0, 0.0]
+            for (words, _, whole), k in zip(found, all_of):
+                votes[k] += 1.0 if whole else len(words) / self.lengths[k]
+            out.append(BANDS[int(np.argmax(votes))])
+        return out
 
 
 def isotonic(scores: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,10 +341,10 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc_id, grade, found in posts:
             sums, squares = np.zeros(N_FEATURES), np.zeros(N_FEATURES)
-            for words, commas, _ in found:
-                x = features(words, commas)
-                sums += x
-                squares += x * x
+            for at in range(0, len(found), SENTENCES_AT_ONCE):
+                x = features(found[at : at + SENTENCES_AT_ONCE]).astype(float)
+                sums += x.sum(axis=0)
+                squares += (x * x).sum(axis=0)
             out.append((doc_id, grade, len(found), sums.tobytes(), squares.tobytes()))
         yield _batch(out, doc_id=pa.int64(), grade=pa.float64(), n=pa.int64(), sums=pa.binary(), squares=pa.binary())
 
@@ -334,7 +364,7 @@ def _draw(share: float):
             out = []
             for doc_id, grade, found in posts:
                 some = [found[k] for k in chosen(doc_id, len(found), share)]
-                x = b"".join(features(words, commas).tobytes() for words, commas, _ in some)
+                x = features(some).tobytes()
                 out.append((doc_id, grade, x, [len(words) if whole else -len(words) for words, _, whole in some]))
             yield _batch(out, doc_id=pa.int64(), grade=pa.float64(), x=pa.binary(), sizes=pa.list_(pa.int32()))
 
@@ -357,12 +387,17 @@ def reading_bands(documents: DataFrame, labels: DataFrame, lang: str = "en") ->
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, bands = [], []
+            ids, bands, posts, held = [], [], [], 0
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                n, xs, sizes = post_features(text)
-                if n >= LEAST_WORDS:
+                found = sentences(own_text(text or ""))
+                if sum(len(words) for words, _, _ in found) >= LEAST_WORDS:
                     ids.append(doc_id)
-                    bands.append(ranker.band(xs, sizes))
+                    posts.append(found)
+                    held += len(found)
+                if held >= SENTENCES_AT_ONCE:
+                    bands += ranker.bands(posts)
+                    posts, held = [], 0
+            bands += ranker.bands(posts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.int32())], names=["doc_id", "band"])
 
     return documents.where((F.col("lang") == lang) & (F.length("text") >= 2 * LEAST_WORDS - 1)).select("doc_id", "text").mapInArrow(judge, schema)
