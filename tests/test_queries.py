@@ -42,7 +42,7 @@ def test_enrichment_is_given_the_examples(spark, monkeypatch):
         name = "echo"
 
         def analyze(self, prompt):
-            return json.dumps({"explanation": prompt.split("\n\nAnswer with")[0], "root_cause": None, "suggestions": []})
+            return json.dumps({"explanation": prompt, "root_cause": None, "suggestions": []})
 
     monkeypatch.setattr(queries, "MockProvider", Echo)
     got = {r.pattern: r.explanation for r in catalog.QUERIES["enrich_groups"](spark, str(TESTDATA)).collect()}

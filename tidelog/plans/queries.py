@@ -17,7 +17,7 @@ from tidelog.formats import records
 from tidelog.functions import severity as sev
 from tidelog.functions import text as tx
 from tidelog.functions import timestamps as tm
-from tidelog.functions.responses import backoff_ms, extract_response, is_retryable, prompt, typed_response
+from tidelog.functions.responses import backoff_ms, extract_response, is_retryable, prompt, simple_response, typed_response
 from tidelog.operators import cache as ca
 from tidelog.operators import grouping as gr
 from tidelog.operators import metadata as md
@@ -27,6 +27,7 @@ from tidelog.operators.enrich import MockProvider, enrich
 from tidelog.operators.stitch import stitch
 from tidelog.plans.pipeline import investigate
 from tidelog.session import prepare, shared_dir, spread, table
+from tidelog.sources.lines import read_lines, union_sources
 from tidelog.streaming.watch import pattern_counts
 
 AS_OF = "2024-06-01 00:00:00"
@@ -141,6 +142,7 @@ _SEV_CASE = (
     "WHEN {0} IN ('INFO','INFORMATION') THEN 'Info' WHEN {0} = 'DEBUG' THEN 'Debug' WHEN {0} = 'TRACE' THEN 'Trace' ELSE 'Unknown' END"
 )
 _PLAIN_SEV = _SEV_CASE.format(_SEV_WORD.format("line"))
+# The layouts of times and lines, stated again for the checks.
 _STRICT = r"'^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$'"
 _PLAIN_TS = rf"regexp_extract(line, '(\d{{4}}-\d{{2}}-\d{{2}}[T\s]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?(?:Z|[+-]\d{{2}}:?\d{{2}})?)', 1)"
 
@@ -174,6 +176,7 @@ def parse_json(spark, sf_dir):
     return df.select("event_id", us(F.col("ts")).alias("ts_us"), "severity", "message", "file_line", "function", "thread")
 
 
+# Line layouts, stated again for the checks; those of the other formats below, too.
 _AP = r"'^(\S+) \S+ (\S+) \[([^\]]+)\] \"([^\"]*)\" (\d{3}) (\d+|-)'".replace('\\"', '"')
 _AC = _AP[:-1] + " \"([^\"]*)\" \"([^\"]*)\"'"
 _HTTP = "CASE WHEN {0} BETWEEN 500 AND 599 THEN 'Error' WHEN {0} BETWEEN 400 AND 499 THEN 'Warning' ELSE 'Info' END"
@@ -300,7 +303,13 @@ def detect_samples(spark, sf_dir):
     return detect_from_samples(lines(spark, sf_dir, "mixed").select(F.col("user_id").cast("string").alias("source"), "line"))
 
 
-@query("raw_file_formats")
+@query(
+    "raw_file_formats",
+    "WITH r AS (SELECT CAST(file_id AS VARCHAR) AS source, trim(raw, chr(9) || chr(10) || chr(13) || ' ') AS t, raw AS line FROM raw_lines WHERE raw IS NOT NULL), c AS (SELECT source, "
+    + ", ".join(f"sum(CASE WHEN {c.replace('line', 't') if n == 'json' else c} THEN 1 ELSE 0 END) AS {n}" for n, c in _IS.items())
+    + " FROM r GROUP BY 1) SELECT source, CASE WHEN greatest(json, apache, nginx, syslog) = 0 THEN 'plain' WHEN json = greatest(json, apache, nginx, syslog) THEN 'json' "
+    "WHEN apache = greatest(json, apache, nginx, syslog) THEN 'apache' WHEN nginx = greatest(json, apache, nginx, syslog) THEN 'nginx' ELSE 'syslog' END AS format FROM c",
+)
 def raw_file_formats(spark, sf_dir):
     prepare(spark)
     raw = table(spark, sf_dir, "raw_lines").select(F.col("file_id").cast("string").alias("source"), F.col("raw").alias("line"))
@@ -335,8 +344,17 @@ def priority_class(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(p.alias("priority"), sev.priority_class(p).alias("class")).agg(F.count("*").alias("n"))
 
 
+# The message pattern, stated again for the check.
+_N1 = (
+    r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?|\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2}|"
+    r"\d{2}\s+\w{3}\s+\d{4}\s+\d{2}:\d{2}:\d{2},\d{3}|\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b|"
+    r"\b[A-Za-z0-9+/]{20,}={0,2}#\d+\b|\b\d{5,}\b|\b0x[0-9a-fA-F]+\b|\bWorker\d+\b|https?://[^\s]+|\b\d+\.\d+\.\d+\.\d+\b|"
+    r"/[\w/.-]+:\d+|\[[\w-]+-\d+\]|\bexec-\d+\b"
+)
+
+
 def _duck_pattern(x: str) -> str:
-    return f"regexp_replace({x}, '{tx.PATTERN}', '<DYNAMIC>', 'g')"
+    return f"regexp_replace({x}, '{_N1}', '<DYNAMIC>', 'g')"
 
 
 @query("normalize_messages", f"WITH {duck_lines('norm')} SELECT event_id, {_duck_pattern('line')} AS pattern, 'err-' || substr(md5({_duck_pattern('line')}), 1, 16) AS group_id FROM l")
@@ -392,8 +410,11 @@ def parse_timestamps(spark, sf_dir):
 
 # --- metadata ----------------------------------------------------------------------------------------------------
 
-_FL = rf"'{md.FILE_LINE}'"
-_TH, _RQ, _FN = (f"'{p}'" for p in (md.THREAD, md.REQUEST_ID, md.FUNCTION))
+# The metadata patterns, stated again for the check.
+_FL = r"""'"([^"]+\.(?:java|py|js|ts|cs|go|rs|cpp|c|h))",\s*line\s*(\d+)|(\w+\.(?:java|py|js|ts|cs|go|rs|cpp|c|h)):(\d+)'"""
+_TH = r"'\[([^\]]+)\]|thread[_-]?(?:id)?[=:]?\s*([a-zA-Z0-9-]+)'"
+_RQ = r"'(?:request[_-]?id|req[_-]?id|trace[_-]?id|correlation[_-]?id)[=:]?\s*([a-zA-Z0-9-]+)'"
+_FN = r"'at\s+([a-zA-Z0-9_.]+)\('"
 
 
 def _first_of(x: str, pattern: str, *groups: int) -> str:
@@ -521,13 +542,14 @@ def report_time_range(spark, sf_dir):
     f"{_GROUP_CTE}, n AS (SELECT pattern, message, row_number() OVER (PARTITION BY pattern ORDER BY entry_no) AS k FROM g), "
     "x AS (SELECT pattern, string_agg(CAST(k AS VARCHAR) || '. ' || message, chr(10) ORDER BY k) AS ex FROM n WHERE k <= 3 GROUP BY 1) "
     "SELECT a.pattern, 'Analyze this error pattern from application logs.' || chr(10) || chr(10) || 'Pattern: ' || a.pattern || chr(10) || 'Occurrences: ' || CAST(cnt AS VARCHAR) || chr(10) || "
-    "'Severity: ' || severity || chr(10) || chr(10) || 'Examples:' || chr(10) || ex AS prompt FROM a JOIN x USING (pattern)",
+    "'Severity: ' || severity || chr(10) || chr(10) || 'Examples:' || chr(10) || ex || chr(10) || chr(10) || "
+    "'Answer with one JSON object with the keys \"explanation\", \"root_cause\" and \"suggestions\" (description, code_example, priority).' AS prompt FROM a JOIN x USING (pattern)",
 )
 def prompt_build(spark, sf_dir):
     df = _entries(spark, sf_dir)
     groups = gr.group_entries(df, AS_OF).join(gr.top_examples(df), "group_id")
     made = prompt(F.col("pattern"), F.col("cnt"), F.col("severity"), F.col("examples"))
-    return groups.select("pattern", F.substring_index(made, "\n\nAnswer with", 1).alias("prompt"))
+    return groups.select("pattern", made.alias("prompt"))
 
 
 def _raw_lines(spark, sf_dir) -> DataFrame:
@@ -541,7 +563,7 @@ def investigate_lines(spark, sf_dir):
     return _flat(investigate(_raw_lines(spark, sf_dir), AS_OF, year=YEAR))
 
 
-@query("enrich_groups")
+@query("enrich_groups", f"{_GROUP_CTE} SELECT pattern, cnt, 'about ' || pattern AS explanation, CAST(1 AS INT) AS attempts FROM a")
 def enrich_groups(spark, sf_dir):
     """Groups with the analysis of a deterministic provider."""
     df = _entries(spark, sf_dir)
@@ -680,6 +702,19 @@ def cache_lookup(spark, sf_dir):
     return found.select("pattern", "explanation", F.when(F.col("suggestions").isNotNull(), F.size("suggestions")).alias("n_suggestions"))
 
 
+_REPEATED = "CASE WHEN event_id % 10 = 0 THEN event_id * 4 ELSE event_id - event_id % 10 + 2 END"
+
+
+@query(
+    "cache_upsert_repeated",
+    f"WITH c AS (SELECT {_cache_columns('event_id')} FROM events), n AS (SELECT {_cache_columns(_REPEATED)} FROM events), u AS (SELECT pattern, provider, model, arg_max(explanation, created_at) AS explanation FROM n GROUP BY ALL) "
+    "SELECT pattern, provider, explanation FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.pattern = c.pattern AND u.provider = c.provider) UNION ALL SELECT pattern, provider, explanation FROM u",
+)
+def cache_upsert_repeated(spark, sf_dir):
+    """New rows that share their keys: the latest of each counts."""
+    return ca.upsert(_cache(spark, sf_dir), _cache(spark, sf_dir, _REPEATED)).select("pattern", "provider", "explanation")
+
+
 @query("cache_upsert", f"WITH c AS (SELECT {_cache_columns('event_id')} FROM events), n AS (SELECT {_cache_columns('event_id * 4')} FROM events) SELECT pattern, provider, explanation FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pattern = c.pattern AND n.provider = c.provider AND n.model = c.model) UNION ALL SELECT pattern, provider, explanation FROM n")
 def cache_upsert(spark, sf_dir):
     return ca.upsert(_cache(spark, sf_dir), _cache(spark, sf_dir, "event_id * 4")).select("pattern", "provider", "explanation")
@@ -716,6 +751,143 @@ def typed_responses(spark, sf_dir):
     return df.select("event_id", F.col("r.explanation").alias("explanation"), F.size("r.suggestions").alias("n"), F.col("r.suggestions")[0]["priority"].alias("priority"))
 
 
+@query(
+    "simple_responses",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x' || CAST(event_id AS VARCHAR) END AS explanation, event_id % 3 = 0 AS taken FROM events",
+)
+def simple_responses(spark, sf_dir):
+    """Fenced and typed without repair; a suggestion without priority, or none at all, gives nothing."""
+    prepare(spark)
+    tail = F.when(F.col("event_id") % 3 == 0, '[{"description":"d","priority":1}]').when(F.col("event_id") % 3 == 1, '[{"description":"d"}]').otherwise("null")
+    text = F.concat(F.lit('```json\n{"explanation":"x'), F.col("event_id").cast("string"), F.lit('","suggestions":'), tail, F.lit("}\n```"))
+    df = table(spark, sf_dir, "events").select("event_id", simple_response(text).alias("r"))
+    return df.select("event_id", F.col("r.explanation").alias("explanation"), F.col("r").isNotNull().alias("taken"))
+
+
+# --- reports and search --------------------------------------------------------------------------------------------
+
+
+@query("masked_config", "SELECT event_id, 'name = \"' || event_type || '\"' || chr(10) || 'api_key = \"***\"' AS shown FROM events")
+def masked_config(spark, sf_dir):
+    prepare(spark)
+    text = F.concat(F.lit('name = "'), F.col("event_type"), F.lit('"\napi_key = "k'), F.col("event_id").cast("string"), F.lit('"'))
+    return table(spark, sf_dir, "events").select("event_id", tx.mask_api_key(text).alias("shown"))
+
+
+@query("search_text", f"WITH {duck_lines('plain_z')} SELECT event_id FROM l WHERE contains(lower(line), lower('PURCHASE Failed'))")
+def search_text(spark, sf_dir):
+    return lines(spark, sf_dir, "plain_z").where(tx.contains_text(F.col("line"), "PURCHASE Failed")).select("event_id")
+
+
+@query(
+    "report_times",
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S UTC') WHEN event_id % 3 = 1 THEN event_type || ' ' || CAST(user_id AS VARCHAR) ELSE 'No timestamp' END AS shown FROM events",
+)
+def report_times(spark, sf_dir):
+    """The time of an entry as reports show it, where it has none the first two words of its line."""
+    prepare(spark)
+    three = F.col("event_id") % 3
+    raw = F.when(three == 1, F.concat_ws(" ", "event_type", F.col("user_id").cast("string"), F.lit("more"))).otherwise(F.lit("word"))
+    return table(spark, sf_dir, "events").select("event_id", tm.report_time(F.when(three == 0, F.col("ts").cast("timestamp")), raw).alias("shown"))
+
+
+@query("observed_counts", f"{_STITCH} SELECT count(*) AS parsed_entries, sum(CASE WHEN contains(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), chr(10)) THEN 1 ELSE 0 END)::BIGINT AS multiline_entries FROM x")
+def observed_counts(spark, sf_dir):
+    """The counters that fill while the entries are written somewhere else."""
+    entries, watch = st.observed(records.parse_plain(_stitched(spark, sf_dir).select("line")), f"parsing-{uuid.uuid4().hex}")
+    entries.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(watch.get["parsed_entries"], watch.get["multiline_entries"])], "parsed_entries BIGINT, multiline_entries BIGINT")
+
+
+@query("report_entries", f"{_GROUP_CTE} SELECT pattern, message, row_number() OVER (PARTITION BY pattern ORDER BY entry_no) AS occurrence FROM g WHERE pattern IN (SELECT pattern FROM a ORDER BY {_RANK}, cnt DESC, pattern LIMIT 4)")
+def report_entries(spark, sf_dir):
+    """A3: all entries of the groups that a report shows, none left out."""
+    df = _entries(spark, sf_dir).withColumn("raw", F.col("message"))
+    shown = gr.ranked(gr.group_entries(df, AS_OF), 4)
+    return gr.entries_of(shown, df).join(shown.select("group_id", "pattern"), "group_id").select("pattern", "message", F.col("occurrence").cast("bigint").alias("occurrence"))
+
+
+# --- text files ------------------------------------------------------------------------------------------------------
+
+
+def _files(spark, sf_dir, template: str) -> str:
+    """A folder of text files with the lines of a template, in the shared folder."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{template}.txt"
+    lines(spark, sf_dir, template).select("line").write.text(path)
+    return path
+
+
+@query("scan_files", f"WITH {duck_lines('plain')} SELECT line, count(*) AS n FROM l GROUP BY 1")
+def scan_files(spark, sf_dir):
+    """Lines of text files."""
+    prepare(spark)
+    return read_lines(spark, _files(spark, sf_dir, "plain")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("scan_lossy", "SELECT event_id, 'a' || chr(65533) || CAST(event_id AS VARCHAR) AS line FROM events")
+def scan_lossy(spark, sf_dir):
+    """Files with a byte that is no UTF-8 in each line, and with line ends of CR LF."""
+    prepare(spark)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/lossy.txt"
+    broken = F.concat(F.unhex(F.lit("61FF")), F.concat(F.col("event_id").cast("string"), F.lit("\r")).cast("binary")).cast("string")
+    table(spark, sf_dir, "events").select(broken.alias("line")).write.text(path)
+    got = read_lines(spark, path)
+    return got.select(F.regexp_extract("line", r"(\d+)$", 1).cast("bigint").alias("event_id"), "line")
+
+
+@query(
+    "two_sources_groups",
+    f"WITH {duck_lines('plain_z')}, g AS (SELECT {_duck_pattern('line')} AS pattern FROM l WHERE {_PLAIN_SEV} IN ('Error', 'Warning')), "
+    f"{duck_lines('nginx_error').replace('l AS', 'k AS', 1)}, h AS (SELECT {_duck_pattern(_g(_NE, 5).replace('(line', '(k.line'))} AS pattern FROM k WHERE {_g(_NE, 2).replace('(line', '(k.line')} IN ('crit', 'warn')) "
+    "SELECT pattern, count(*) AS cnt FROM (SELECT pattern FROM g UNION ALL SELECT pattern FROM h) GROUP BY 1",
+)
+def two_sources_groups(spark, sf_dir):
+    """Several inputs of different formats in one investigation."""
+    prepare(spark)
+    both = union_sources(spark, [_files(spark, sf_dir, "plain_z"), _files(spark, sf_dir, "nginx_error")])
+    return investigate(both, AS_OF, year=YEAR).select("pattern", "cnt")
+
+
+_CONTROL = f"replace(replace({{0}}, 'GET /', 'GET /' || chr(2) || 'x'), ' HTTP', chr(1) || ' HTTP')"
+
+
+@query(
+    "parse_control_bytes",
+    f"WITH m AS (SELECT event_id, {_CONTROL.format(line_sql('apache_common', 'duck'))} AS line FROM events) SELECT event_id, {_g(_AP, 5)} || ' ' || {_g(_AP, 4)} AS message, {_g(_AP, 5)} AS status FROM m",
+)
+def parse_control_bytes(spark, sf_dir):
+    """Lines that hold the bytes 1 and 2, which the parsers use inside."""
+    df = lines(spark, sf_dir, "apache_common").select("event_id", F.expr(_CONTROL.format("line")).alias("line"))
+    return records.parse_apache(df).select("event_id", "message", F.try_element_at("extra", F.lit("status")).alias("status"))
+
+
+_BY_USER = {0: "stitch", 1: "nginx_error", 2: "syslog_3164"}
+_INVESTIGATED = (
+    _STITCH.replace("FROM l)", "FROM l WHERE user_id % 3 = 0)", 1)
+    + f", q1 AS (SELECT user_id, event_id, {line_sql('nginx_error', 'duck')} AS line FROM events WHERE user_id % 3 = 1)"
+    + f", q2 AS (SELECT user_id, event_id, {line_sql('syslog_3164', 'duck')} AS line FROM events WHERE user_id % 3 = 2)"
+    + f", q3 AS (SELECT *, CAST({_g(_S3, 1)} AS INT) AS p FROM q2)"
+    + f", e AS (SELECT source, line_no AS n, {_PLAIN_SEV} AS severity, trim(line, chr(9) || chr(10) || ' ') AS message FROM x"
+    + f" UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, CASE {_g(_NE, 2)} WHEN 'crit' THEN 'Error' WHEN 'warn' THEN 'Warning' WHEN 'notice' THEN 'Info' ELSE 'Debug' END, {_g(_NE, 5)} FROM q1"
+    + f" UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, {_PRI_SEV}, {_g(_S3, 5)} FROM q3)"
+)
+
+
+@query(
+    "investigate_events",
+    f"{_INVESTIGATED}, y AS (SELECT {_duck_pattern('message')} AS pattern, severity, source || chr(1) || lpad(CAST(n AS VARCHAR), 12, '0') AS place FROM e WHERE severity IN ('Error', 'Warning')) "
+    "SELECT 'err-' || substr(md5(pattern), 1, 16) AS group_id, pattern, count(*) AS cnt, arg_min(severity, place) AS severity FROM y GROUP BY pattern",
+)
+def investigate_events(spark, sf_dir):
+    """The whole investigation, M4 included, over a file for each user: format detection, stitching, parsing, grouping."""
+    df = lines(spark, sf_dir, "stitch")
+    made = F.when(F.col("user_id") % 3 == 0, F.col("line"))
+    for k, template in list(_BY_USER.items())[1:]:
+        made = made.when(F.col("user_id") % 3 == k, F.expr(line_sql(template, "spark")))
+    files = df.select(F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("line_no"), made.alias("line"))
+    return investigate(files, AS_OF, year=YEAR).select("group_id", "pattern", "cnt", "severity")
+
+
 # --- streaming ---------------------------------------------------------------------------------------------------
 
 
