@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.schema import CACHE
+
 KEY = ("pattern", "provider", "model")
+VERSION = "version-"
 SUGGESTIONS = "ARRAY<STRUCT<description: STRING, code_example: STRING, priority: SMALLINT>>"
 
 
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a cache folder; empty if there is none."""
+    versions = sorted(_names(spark, folder))
+    return spark.read.schema(CACHE).parquet(f"{folder}/{versions[-1]}") if versions else spark.createDataFrame([], CACHE)
+
+
+def write(cache: DataFrame, folder: str) -> None:
+    """A new version beside the old one, which readers may still be at; the last but one is removed."""
+    spark = cache.sparkSession
+    cache.write.parquet(f"{folder}/{VERSION}{time.time_ns():020d}")
+    for name in sorted(_names(spark, folder))[:-2]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Whole versions: those that a finished job has marked."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return [n for n in found if n.startswith(VERSION) and done(n)]
+
+
 def lookup(groups: DataFrame, cache: DataFrame, provider: str, model: str) -> DataFrame:
     """Groups with explanation, root_cause and suggestions of the cache, null on a miss; bad JSON has no suggestions.
 

@@ -7,11 +7,13 @@ a time.  A call that fails leaves the group without analysis.
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import Protocol, TextIO
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +63,35 @@ def with_retries(call: Callable[[], str], retries: int, initial_ms: int, max_ms:
     raise AssertionError
 
 
-def enrich(prompts: DataFrame, provider: Provider, concurrency: int = CONCURRENCY, retries: int = 3, initial_ms: int = 1000, max_ms: int = 30_000) -> DataFrame:
+class Progress:
+    """Calls done of all, in per cent, with the time that is left, printed by the driver as executors report."""
+
+    def __init__(self, sc: SparkContext, total: int, out: TextIO):
+        self.done, self.total, self.out = sc.accumulator(0), total, out
+
+    def watch(self, every: float = 1.0) -> threading.Event:
+        """Print until the event that is returned is set."""
+        ended, began = threading.Event(), time.monotonic()
+
+        def show() -> None:
+            while not ended.wait(every) and self.done.value < self.total:
+                self.out.write(self.line(time.monotonic() - began))
+
+        threading.Thread(target=show, daemon=True).start()
+        return ended
+
+    def line(self, seconds: float) -> str:
+        done = self.done.value
+        left = f"{seconds / done * (self.total - done):.0f} s left" if done else "?"
+        return f"{done}/{self.total} ({100 * done // max(1, self.total)} %), {left}\n"
+
+
+def enrich(
+    prompts: DataFrame, provider: Provider, concurrency: int = CONCURRENCY, retries: int = 3, initial_ms: int = 1000, max_ms: int = 30_000,
+    progress: Progress | None = None,
+) -> DataFrame:
     """(group_id, analysis, attempts, duration_ms, failure_reason) of prompts (group_id, prompt)."""
+    done = progress.done if progress else None
     if not LEAST_CONCURRENCY <= concurrency <= MOST_CONCURRENCY:
         raise ValueError(f"concurrency must be {LEAST_CONCURRENCY} to {MOST_CONCURRENCY}")
 
@@ -76,6 +105,8 @@ def enrich(prompts: DataFrame, provider: Provider, concurrency: int = CONCURRENC
                 if found is not None and found.error:
                     error = found.error
                 out.append((group_id, found.json if found else None, attempts, int((time.monotonic() - began) * 1000), error))
+                if done is not None:
+                    done.add(1)
             yield pd.DataFrame(out, columns=["group_id", "json", "attempts", "duration_ms", "failure_reason"])
 
     schema = "group_id STRING, json STRING, attempts INT, duration_ms BIGINT, failure_reason STRING"

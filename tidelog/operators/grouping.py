@@ -1,7 +1,7 @@
 """Grouping of errors and warnings by pattern: A1-A5, O1, L1, L2, W1, F1, F3.
 
 Counts are pre-aggregated on the map side; severities and places travel as integers so that the aggregate stays a
-hash aggregate.  No group's entries are ever collected, except in :func:`with_entries` for reports.
+hash aggregate.  No group's entries are ever collected, not even for reports.
 """
 
 from __future__ import annotations
@@ -116,13 +116,13 @@ def totals(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("n_entries"))
 
 
-def time_range(entries: DataFrame) -> DataFrame:
+def time_range(entries: DataFrame, level: str | None = None) -> DataFrame:
     """A5: (range_start, range_end): least time of the groups' first entries, greatest of their last.
 
     A group whose first entry has no time hides the start, as one whose last has none doesn't count for the end.
     """
     within, us = _order(entries)[:-1], F.coalesce(F.unix_micros("ts"), F.lit(-(2**62)))
-    per = with_pattern(entries).groupBy("group_id", *within).agg(F.min_by(us, "entry_no").alias("a"), F.max_by(us, "entry_no").alias("b"))
+    per = with_pattern(entries, level).groupBy("group_id", *within).agg(F.min_by(us, "entry_no").alias("a"), F.max_by(us, "entry_no").alias("b"))
     if within:
         source = F.coalesce("source", F.lit(""))
         per = per.groupBy("group_id").agg(F.min_by("a", source).alias("a"), F.max_by("b", source).alias("b"))

@@ -1,9 +1,14 @@
-"""Sinks Z1-Z5: terminal, JSON and HTML reports of few groups, and files of many."""
+"""Sinks Z1-Z5: terminal, JSON and HTML reports, and files of many groups.
+
+Reports are written piece by piece from an iterator of groups, each with an iterator of all of its entries: none is left
+out, and none of them all is held at a time.
+"""
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -11,9 +16,7 @@ from pyspark.sql import DataFrame
 
 from tidelog.functions.severity import LABELS
 
-RULE = "━" * 80
-#: Occurrences that an HTML report lists for each group.
-SHOWN_ENTRIES = 50
+RULE = "=" * 72
 
 
 def pick_format(argument: str | None, configured: str | None) -> str:
@@ -31,35 +34,37 @@ def _ago(then: datetime | None, now: datetime) -> str:
     return f"{s // 86400} days ago"
 
 
-def terminal(groups: list[dict], total_groups: int, total_entries: int, now: datetime, time_range: tuple | None = None) -> str:
+def terminal(groups: Iterable[dict], total_groups: int, total_entries: int, now: datetime, time_range: tuple | None = None) -> str:
     """The report as text; ``groups`` are the rows to show."""
-    out = ["", "🤖 Log Analysis Report", RULE, "", "📊 Summary", f"   Errors found: {total_groups} unique patterns ({total_entries} occurrences)"]
+    out = ["", "Log report", RULE, f"{total_groups} patterns in {total_entries} entries"]
     if time_range and all(time_range):
-        out.append("   Time range: " + " - ".join(f"{t:%Y-%m-%d %H:%M:%S}" for t in time_range))
-    out += ["", RULE]
+        out.append("from " + " to ".join(f"{t:%Y-%m-%d %H:%M:%S}" for t in time_range) + " UTC")
     for g in groups:
         label, icon = LABELS[g["severity"]]
-        out += ["", f"{icon} {label}: {g['pattern']} ({g['cnt']} occurrences)"]
-        out.append(f"   First seen: {_ago(g['first_seen'], now)} | Last seen: {_ago(g['last_seen'], now)}")
+        out += [RULE, f"{icon} {label}, {g['cnt']} times: {g['pattern']}", f"  first {_ago(g['first_seen'], now)}, last {_ago(g['last_seen'], now)}"]
         if g.get("example_message"):
-            out += ["", "   📋 Example:", f"   {g['example_message']}"]
-            if g.get("example_file"):
-                line = g.get("example_line")
-                out.append(f"   📍 Location: {g['example_file']}" + (f":{line}" if line is not None else ""))
+            line = g.get("example_line")
+            where = f" ({g['example_file']}" + (f":{line}" if line is not None else "") + ")" if g.get("example_file") else ""
+            out.append(f"  for example: {g['example_message']}{where}")
         analysis = g.get("analysis")
         if analysis:
-            out += ["", "   🎯 Explanation:", f"   {analysis['explanation']}"]
+            out.append(f"  explanation: {analysis['explanation']}")
             if analysis.get("root_cause"):
-                out += ["", "   🔍 Root Cause:", f"   {analysis['root_cause']}"]
-            for i, s in enumerate(analysis.get("suggestions") or [], 1):
-                out.append(f"   {i}. {s['description']}")
-        out += ["", RULE]
-    return "\n".join(out) + "\n"
+                out.append(f"  root cause: {analysis['root_cause']}")
+            out += [f"  {i}. {s['description']}" for i, s in enumerate(analysis.get("suggestions") or [], 1)]
+    return "\n".join([*out, RULE]) + "\n"
 
 
-def to_json(groups: list[dict]) -> str:
-    """An indented array."""
-    return json.dumps(groups, indent=2, default=str, ensure_ascii=False)
+def json_parts(groups: Iterable[dict]) -> Iterator[str]:
+    """An array of groups with all of their entries, in parts."""
+    text = lambda x: json.dumps(x, default=str, ensure_ascii=False)
+    yield "["
+    for i, g in enumerate(groups):
+        yield ("," if i else "") + "\n  " + text({k: v for k, v in g.items() if k != "entries"})[:-1] + ', "entries": ['
+        for j, e in enumerate(g.get("entries") or ()):
+            yield ("," if j else "") + "\n    " + text(e)
+        yield "]}"
+    yield "\n]\n"
 
 
 def write_json(groups: DataFrame, path: str) -> None:
@@ -70,38 +75,58 @@ def write_json(groups: DataFrame, path: str) -> None:
 _PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Log report</title><style>
 body{{font:15px sans-serif;margin:2rem auto;max-width:70rem}}.card{{border:1px solid #ccc;border-radius:6px;padding:1rem;margin:1rem 0}}
 .high{{color:#b00}}.medium{{color:#a60}}pre{{white-space:pre-wrap}}</style></head><body><h1>Log report</h1>
-<p class="stats">{patterns} patterns, {entries} occurrences</p><input id="q" placeholder="Search" aria-label="Search">
-{cards}<script>document.getElementById('q').oninput=e=>{{const v=e.target.value.toLowerCase();for(const c of
-document.querySelectorAll('.card'))c.hidden=!c.textContent.toLowerCase().includes(v)}}</script></body></html>"""
+<p class="stats">{patterns} patterns, {entries} occurrences{span}</p><input id="q" placeholder="Search" aria-label="Search">
+"""
+_SCRIPT = """<script>document.getElementById('q').oninput=e=>{const v=e.target.value.toLowerCase();for(const c of
+document.querySelectorAll('.card'))c.hidden=!c.textContent.toLowerCase().includes(v)}</script></body></html>
+"""
 
 
 def _priority(p: int | None) -> str:
     return "high" if p and 1 <= p <= 3 else "medium" if p and 4 <= p <= 6 else ""
 
 
-def to_html(groups: list[dict], total_groups: int, total_entries: int) -> str:
-    """Z3: searchable cards; every text is escaped."""
-    esc = lambda x: html.escape(str(x)).replace("&#x27;", "&#x27;")
-    cards = []
-    for g in groups:
-        label, icon = LABELS[g["severity"]]
-        rows = "".join(
-            f"<li><time>{esc(e['ts'] or ' '.join((e['raw'] or '').split()[:2]) or 'No timestamp')}</time> <pre>{esc(e['message'])}</pre></li>"
-            for e in (g.get("entries") or [])[:SHOWN_ENTRIES]
-        )
-        analysis = g.get("analysis")
-        fixes = ""
-        if analysis:
-            items = "".join(f'<li class="{_priority(s.get("priority"))}">{esc(s["description"])}</li>' for s in analysis.get("suggestions") or [])
-            fixes = f"<p>{esc(analysis['explanation'])}</p><ol>{items}</ol>"
-        cards.append(f'<section class="card"><h2>{icon} {esc(label)}: {esc(g["pattern"])}</h2><p>{g["cnt"]} occurrences</p>{fixes}<ol>{rows}</ol></section>')
-    return _PAGE.format(patterns=total_groups, entries=total_entries, cards="\n".join(cards))
+def _shown_time(entry: dict) -> str:
+    """T8."""
+    if entry["ts"] is not None:
+        return f"{entry['ts']:%Y-%m-%d %H:%M:%S} UTC"
+    words = (entry["raw"] or "").split()
+    return " ".join(words[:2]) if len(words) > 1 else "No timestamp"
+
 
+def _analysis(analysis: dict) -> Iterator[str]:
+    yield f"<p>{html.escape(analysis['explanation'] or '')}</p>"
+    if analysis.get("root_cause"):
+        yield f"<p>Root cause: {html.escape(analysis['root_cause'])}</p>"
+    fixes = analysis.get("suggestions") or []
+    code = lambda s: f"<pre>{html.escape(s['code_example'])}</pre>" if s.get("code_example") else ""
+    yield "<ol>" + "".join(f'<li class="{_priority(s.get("priority"))}">{html.escape(s["description"] or "")}{code(s)}</li>' for s in fixes) + "</ol>"
+    links = analysis.get("related_resources") or []
+    if links:
+        yield "<ul>" + "".join(f'<li><a href="{html.escape(r["url"] or "")}">{html.escape(r["title"] or "")}</a></li>' for r in links) + "</ul>"
 
-def write_text(text: str, path: str) -> None:
-    """A report to a file; folders are made."""
+
+def html_parts(groups: Iterable[dict], total_groups: int, total_entries: int, time_range: tuple | None = None) -> Iterator[str]:
+    """Z3: searchable cards with all entries, in parts; every text is escaped."""
+    span = " from " + " to ".join(f"{t:%Y-%m-%d %H:%M:%S}" for t in time_range) if time_range and all(time_range) else ""
+    yield _PAGE.format(patterns=total_groups, entries=total_entries, span=span)
+    for g in groups:
+        label, icon = LABELS[g["severity"]]
+        times = " - ".join(f"{g[k]:%Y-%m-%d %H:%M:%S}" for k in ("first_seen", "last_seen") if g.get(k))
+        yield f'<section class="card"><h2>{icon} {html.escape(label)}: {html.escape(g["pattern"])}</h2><p>{g["cnt"]} occurrences {times}</p>'
+        yield from _analysis(g["analysis"]) if g.get("analysis") else ()
+        yield "<ol>"
+        for e in g.get("entries") or ():
+            yield f"<li><time>{html.escape(_shown_time(e))}</time> <pre>{html.escape(e['message'] or '')}</pre></li>"
+        yield "</ol></section>\n"
+    yield _SCRIPT
+
+
+def write_parts(parts: Iterable[str], path: str) -> None:
+    """A report to a file, part by part; folders are made."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(parts)
 
 
 def report_name(now: datetime, stem: str = "logs") -> str:
@@ -110,7 +135,13 @@ def report_name(now: datetime, stem: str = "logs") -> str:
 
 def clean(folder: str, pattern: str, keep: int = 0) -> list[str]:
     """Remove files of a folder by pattern but the newest ``keep``; the names that went."""
-    found = sorted(Path(folder).glob(pattern), key=lambda p: (p.stat().st_mtime, p.name), reverse=True)
-    for p in found[keep:]:
+    doomed = to_clean(folder, pattern, keep)
+    for p in doomed:
         p.unlink()
-    return [p.name for p in found[keep:]]
+    return [p.name for p in doomed]
+
+
+def to_clean(folder: str, pattern: str, keep: int = 0) -> list[Path]:
+    """The files that :func:`clean` removes, newest first."""
+    found = (p for p in Path(folder).glob(pattern) if p.is_file())
+    return sorted(found, key=lambda p: (p.stat().st_mtime, p.name), reverse=True)[keep:]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tomllib
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-PROVIDERS = ("openai", "claude", "gemini", "ollama", "bedrock", "none")
+PROVIDERS = ("openai", "claude", "gemini", "ollama", "bedrock", "mock", "none")
 
 
 @dataclass
 class ParserConfig:
-    """The parser's knobs; those about chunks and threads only name what Spark decides by input splits."""
+    """The parser's knobs; those about chunks, threads and streaming only name what Spark decides by input splits."""
 
     auto_detect: bool = True
     default_format: str | None = None
@@ -59,6 +61,7 @@ class ProviderChoice:
     name: str
     model: str | None = None
     key: str | None = None
+    endpoint: str | None = None
 
     @classmethod
     def pick(cls, argument: str | None, config: dict, environ: dict[str, str] | None = None) -> ProviderChoice:
@@ -67,4 +70,52 @@ class ProviderChoice:
         if name not in PROVIDERS:
             raise ValueError(f"unknown provider {name!r}, known: {', '.join(PROVIDERS)}")
         own = config.get("providers", {}).get(name, {})
-        return cls(name, own.get("model"), own.get("api_key") or environ.get(f"{name.upper()}_API_KEY"))
+        return cls(name, own.get("model"), own.get("api_key") or environ.get(f"{name.upper()}_API_KEY"), own.get("endpoint"))
+
+
+def get_setting(path: str, key: str):
+    """The value of a dotted key; None if there is none, keys of providers are masked."""
+    found = read_toml(path)
+    for part in key.split("."):
+        found = found.get(part) if isinstance(found, dict) else None
+    return "***" if found is not None and key.endswith("api_key") else found
+
+
+def set_setting(path: str, key: str, text: str) -> None:
+    """Set a dotted key; the text is read as a TOML value, else taken as it is.  Tables on the way are made."""
+    try:
+        value = tomllib.loads(f"x = {text}")["x"]
+    except tomllib.TOMLDecodeError:
+        value = text
+    settings = read_toml(path)
+    *tables, last = key.split(".")
+    at = settings
+    for part in tables:
+        at = at.setdefault(part, {})
+        if not isinstance(at, dict):
+            raise ValueError(f"{part} of {key} is a value, not a table")
+    at[last] = value
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(to_toml(settings), encoding="utf-8")
+
+
+def to_toml(settings: dict, prefix: str = "") -> str:
+    """Settings as TOML: values first, then tables."""
+    own = [f"{_key(k)} = {_value(v)}\n" for k, v in settings.items() if not isinstance(v, dict)]
+    out = (f"[{prefix}]\n" if prefix and own else "") + "".join(own) + ("\n" if own else "")
+    return out + "".join(to_toml(v, f"{prefix}.{_key(k)}" if prefix else _key(k)) for k, v in settings.items() if isinstance(v, dict))
+
+
+def _key(k: str) -> str:
+    return k if re.fullmatch(r"[A-Za-z0-9_-]+", k) else json.dumps(k)
+
+
+def _value(v) -> str:
+    if isinstance(v, list):
+        return "[" + ", ".join(map(_value, v)) + "]"
+    return json.dumps(v, ensure_ascii=False) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+
+def shown(path: str) -> str:
+    """The settings with the keys of providers masked."""
+    return re.sub(r'(?m)^(api_key = )".*"$', r'\1"***"', to_toml(read_toml(path)))

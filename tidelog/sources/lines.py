@@ -77,10 +77,10 @@ def _status(spark: SparkSession, folder: str) -> list:
     return list(fs.listStatus(path)) if fs.exists(path) else []
 
 
-def union_sources(spark: SparkSession, names: list[str]) -> DataFrame:
+def union_sources(spark: SparkSession, names: list[str], lossy: bool = True) -> DataFrame:
     """Lines of several sources, one after the other; ``-`` is standard input, a name without extension a folder.
 
     They are numbered after the union, hence each number occurs once and the numbers follow the order of the names.
     """
-    one = lambda n: _spooled(spark) if n == STDIN else _text(_scan(spark, [n], *((None, False) if PurePath(n).suffix else ("*.log", True))), True)
+    one = lambda n: _spooled(spark) if n == STDIN else _text(_scan(spark, [n], *((None, False) if PurePath(n).suffix else ("*.log", True))), lossy)
     return _numbered(reduce(DataFrame.unionByName, map(one, names)))
