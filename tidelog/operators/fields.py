@@ -50,6 +50,8 @@ SIMILAR = 0.5
 VARIES = "<*>"
 
 _ESCAPES = re.compile(r"\x1b(?:\[[0-9;?]*[ -/]*[@-~]|\][^\x07]*\x07|[@-Z\\-_])|\x1b|\x07|\x08|\ufeff|\x00")
+#: One of these stands in each match of the pattern; to look for them is cheaper.
+_ESCAPED = ("\x1b", "\x07", "\x08", "\ufeff", "\x00")
 _TOKEN = re.compile(r"\S+")
 _LEVEL = "|".join(sorted((w for w in SEVERITY_OF if len(w) > 1), key=len, reverse=True))
 _MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -121,7 +123,9 @@ def is_mask(token: str) -> bool:
 
 def clean_line(line: str) -> str:
     """The line without terminal escapes and remains of line ends."""
-    return _ESCAPES.sub("", line).rstrip("\r\n")
+    if any(c in line for c in _ESCAPED):
+        line = _ESCAPES.sub("", line)
+    return line.rstrip("\r\n")
 
 
 _ZERO = bytes.maketrans(b"123456789", b"000000000")
@@ -137,10 +141,15 @@ def mask(shape: bytes) -> str:
     return VARIES if "0" in token else f"={token}"
 
 
-def masked(line: str, most: int) -> list[str]:
-    """The masks of the first tokens of a line; zeros in place of digits make nearly all tokens known ones."""
+def shapes(line: str, most: int) -> list[bytes]:
+    """The first tokens of a line, with zeros in place of digits, which makes nearly all tokens known ones."""
     text = line if line.isascii() else " ".join(line.split())  # bytes know only the white space of ASCII
-    return list(map(mask, text.encode("utf-8", "surrogatepass").translate(_ZERO).split(None, most)[:most]))
+    return text.encode("utf-8", "surrogatepass").translate(_ZERO).split(None, most)[:most]
+
+
+def masked(line: str, most: int) -> list[str]:
+    """The masks of the first tokens of a line."""
+    return list(map(mask, shapes(line, most)))
 
 
 def severity_of_level(level: str) -> str:
@@ -273,6 +282,11 @@ def branch(token: str) -> str:
     return VARIES if _is_word(token) else token
 
 
+@lru_cache(maxsize=100_000)
+def _branch_of(shape: bytes) -> str:
+    return branch(mask(shape))
+
+
 def _time_at(m: list[str], i: int) -> int:
     """The number of tokens of the time that begins at a position; 0 if none does."""
     return next((len(t) for t in _TIMES if tuple(m[i : i + len(t)]) == t), 0)
@@ -417,7 +431,7 @@ class Layouts:
 
     def find(self, line: str) -> Layout | None:
         """The layout of the longest header that the line begins with."""
-        header = tuple(map(branch, masked(line, HEADER)))
+        header = tuple(map(_branch_of, shapes(line, HEADER)))
         if header not in self.found:
             if len(self.found) > 100_000:
                 self.found.clear()
